@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, decontaminate
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,43 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.documents(spark, sf_dir)).drop("th")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    trusted = common.table(spark, sf_dir, "labels").filter("quality = 1")
+    return quality_rules(common.documents(spark, sf_dir), trusted)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = decontaminate.decontaminate(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return d.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(common.documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import token_files
+
+    path = common.folder(spark, "tokens")
+    ids = token_files.encode(common.documents(spark, sf_dir), public_tokenizers.path(token_files.TOKENIZER))
+    token_files.write(ids, path)
+    return token_files.read(spark, path, with_ids=False)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
+    "op7_simhash": op7_simhash,
+    "op10_token_files": op10_token_files,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
