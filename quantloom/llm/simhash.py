@@ -8,12 +8,13 @@
     Dynamic programming picks the thresholds, and the number of partitions, of
     the least expected work: exact collision counts over all fingerprints for
     t = 0, carried on to larger t with the bits' own rates of difference.
-3.  Fingerprints meet in buckets of equal partition values; for t_i >= 1 they
-    also probe the buckets of all values within t_i bits.
+3.  Fingerprints meet in buckets of equal partition values.  For t_i >= 1 each
+    goes to the buckets of all values within t_i // 2 bits and probes those
+    within the other half, rounded up: values within t_i bits share a bucket.
 4.  A bucket is verified in blocks of BUCKET rows; a larger one is dealt out
     as pairs of blocks, so no task holds it whole and no pair is left out.  A
-    block reports a spanning forest of its links, which has the same connected
-    components as the links themselves.
+    block reports a spanning forest of its links, closest links first, which
+    has the same connected components as the links themselves.
 5.  Components by large-star and small-star steps (``components.py``).
 
 Defined results: null text is empty; a text without words has fingerprint zero
@@ -168,8 +169,8 @@ def plan(fps: DataFrame, limit: int) -> list[tuple[list[int], int]]:
         for g in groups:
             n, pairs = stats.get(at, (0.0, 0.0))
             at += 1
-            ball = [sum(comb(len(g), k) for k in range(t + 1)) for t in range(limit + 1)]
-            costs.append([0.0, *(ROW_COST * n * ball[t] + within(p[g], pairs, t) for t in range(limit + 1))])
+            ball = [sum(comb(len(g), k) for k in range((t + 1) // 2 + 1)) for t in range(limit + 1)]
+            costs.append([0.0, *(ROW_COST * n * ball[t] + within(p[g], pairs, t // 2) * within(p[g], 1.0, (t + 1) // 2) for t in range(limit + 1))])
         got = allot(costs, limit)
         if best is None or got[0] < best[0]:
             best = (got[0], [(g, t) for g, t in zip(groups, got[1]) if t >= 0])
@@ -197,19 +198,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 def verify(left: np.ndarray, right: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between two blocks of fingerprints."""
-    found_a, found_b = [], []
+    found_a, found_b, far = [], [], []
     step = max(1, (1 << 20) // max(1, len(right)))
     for i in range(0, len(left), step):
-        x, y = np.nonzero(np.bitwise_count(left[i : i + step, None] ^ right[None, :]) <= limit)
+        apart = np.bitwise_count(left[i : i + step, None] ^ right[None, :])
+        x, y = np.nonzero(apart <= limit)
+        far.append(apart[x, y])
         found_a.append(left[i + x])
         found_b.append(right[y])
     if not found_a:
         return []
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    order = np.argsort(np.concatenate(far), kind="stable")
+    a, b = np.concatenate(found_a)[order], np.concatenate(found_b)[order]
     differ = a != b
     return _forest(a[differ].view(np.int64), b[differ].view(np.int64))
 
 
+def _entry(i: int, value, probe: bool):
+    return lambda m: F.struct(F.lit(i).alias("i"), value.bitwiseXOR(m).alias("v"), F.lit(probe).alias("probe"))
+
+
 def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) within ``limit`` bits, enough to connect what is connected."""
     spark = fps.sparkSession
@@ -217,11 +225,11 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     kinds = []
     for i, (bits, t) in enumerate(chosen):
         value = part_value(F.col("fp"), bits)
-        kinds.append(F.array(F.struct(F.lit(i).alias("i"), value.alias("v"), F.lit(False).alias("probe"))))
-        flips = [sum(1 << b for b in c) for k in range(1, t + 1) for c in combinations(bits, k)]
-        if flips:
-            masks = F.array(*[F.lit(int(np.array(m, np.uint64).view(np.int64))) for m in flips])
-            kinds.append(F.transform(masks, lambda m, v=value, i=i: F.struct(F.lit(i).alias("i"), v.bitwiseXOR(m).alias("v"), F.lit(True).alias("probe"))))
+        for probe, reach in ((False, range(t // 2 + 1)), (True, range(t // 2 + 1, (t + 1) // 2 + 1))):
+            flips = [sum(1 << b for b in c) for k in reach for c in combinations(bits, k)]
+            if flips:
+                masks = F.array(*[F.lit(int(np.array(m, np.uint64).view(np.int64))) for m in flips])
+                kinds.append(F.transform(masks, _entry(i, value, probe)))
     rows = fps.select("fp", F.explode(F.concat(*kinds)).alias("x")).select("x.i", "x.v", "x.probe", "fp")
     # Buckets of one row need nothing; larger ones are cut into blocks of BUCKET rows by a hash.
     sizes = rows.groupBy("i", "v").agg(F.count("*").alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("own")).filter("n > 1 and own > 0")

@@ -270,6 +270,11 @@ def _apply(width: int, with_text: bool):
     return cut
 
 
+def text_key(text):
+    """Column: 16 bits of the text's hash, which tell rows of one doc_id apart."""
+    return F.xxhash64(text).bitwiseAND(0xFFFF).cast("int")
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, th (16 bits of the text's hash), n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text.
 
@@ -277,7 +282,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_t
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    d = common.id_text(docs).withColumn("th", (F.xxhash64("text").bitwiseAND(0xFFFF)).cast("int"))
+    d = common.id_text(docs).withColumn("th", text_key(F.col("text")))
     runs = d.mapInArrow(_find_runs(width, gram), "h long, doc_id long, th int, start int, n int")
     again = runs.groupBy("h").count().filter("count > 1").select("h")
     runs = runs.join(again, "h", "left_semi")
