@@ -22,7 +22,9 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,11 @@ from . import common
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 BLOCK, MARK, LIMIT = 1 << 19, 256, 16
+#: The split of byte-level vocabularies (fixed by them), with letters, numbers and white space below U+0250 spelt out.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+LATIN_PIECES = f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces of text whose ids a worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def encoder(path: str):
@@ -44,13 +49,11 @@ def encoder(path: str):
     so a piece is passed to the tokenizers library once and its ids are kept.
     Texts with letters beyond Latin go to the library whole.
     """
-    import regex
-    from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    split, plain = regex.compile(PATTERN).findall, regex.compile(r"[^\x00-ɏ]").search
+    split, plain = re.compile(LATIN_PIECES).findall, re.compile("[^\x00-\u024f]").search
     slots: dict[str, int] = {}
     flat, ends = [np.zeros(0, np.uint32)], [0]
 
@@ -59,7 +62,7 @@ def encoder(path: str):
         if len(slots) > CACHE:
             slots, flat, ends = {}, [np.zeros(0, np.uint32)], [0]
         pieces = [[t] if plain(t) else split(t) for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in slots})
+        new = list(set(chain.from_iterable(pieces)).difference(slots))
         if new:
             got = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             for p, ids in zip(new, got):
@@ -68,7 +71,7 @@ def encoder(path: str):
             flat = [np.concatenate([*flat, np.array([i for ids in got for i in ids], np.uint32)])]
         end = np.array(ends, np.int64)
         counts = np.array([len(ps) for ps in pieces], np.int64)
-        slot = np.fromiter((slots[p] for ps in pieces for p in ps), np.int64, int(counts.sum()))
+        slot = np.fromiter(map(slots.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
         size = end[slot + 1] - end[slot]
         total = int(size.sum())
         at = np.repeat(end[slot] - (np.cumsum(size) - size), size) + np.arange(total)

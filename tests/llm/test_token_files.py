@@ -65,7 +65,7 @@ def test_odd_rows_match_the_library(spark, tmp_path):
 def test_encoder_matches_the_library_on_mixed_text():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    texts = ["  a  b\n\n c\t\td ", "don't we'll I'M 12.5€ ...", "日本語 text Ünï", "naïve x \r\n y", "<|endoftext|> a", "", " ", "\n \n"]
+    texts = ["  a  b\n\n c\t\td ", "don't we'll I'M 12.5€ ...", "日本語 text Ünï", "naïve x \r\n y", "<|endoftext|> a", "", " ", "\n \n", "".join(map(chr, range(1, 0x250))), "x² ½a\u00a0\u00a0b\x85 \x1c\x1d c"]
     ids, n = tf.encoder(PATH)(texts)
     assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
 
