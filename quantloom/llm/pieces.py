@@ -67,19 +67,25 @@ class Lattice:
         self.byte = min((s for _, s in table.values()), default=0.0) * 2 - 1.0
         self.known: dict[bytes, tuple[tuple[int, ...], float, float]] = {}
 
+    @staticmethod
+    def marked(word: bytes) -> int:
+        """Bytes at the start of a word that stand for a blank and must not become byte pieces."""
+        return 3 if word[:3] == b"\xe2\x96\x81" else 0
+
     def edges(self, word: bytes, end: int):
         """(start, id, score) of the pieces that end at ``end``, longest first."""
         for start in range(max(0, end - self.longest), end):
             got = self.table.get(word[start:end])
             if got is not None:
                 yield start, got[0], got[1]
-        yield end - 1, self.single[word[end - 1]], self.byte
+        if end > self.marked(word):
+            yield end - 1, self.single[word[end - 1]], self.byte
 
     def forward(self, word: bytes) -> tuple[list[float], tuple[int, ...], float]:
         """Viterbi scores of all positions of a word, the best ids, and the score of the second-best path."""
         n, longest, get = len(word), self.longest, self.starts.get
         best, second, back = [-np.inf] * (n + 1), [-np.inf] * (n + 1), [(0, 0)] * (n + 1)
-        best[0] = 0.0
+        best[0], marked = 0.0, self.marked(word)
         for a in range(n):
             one, two, b = best[a], second[a], a
             for b in range(a + 1, min(n, a + longest) + 1):
@@ -93,6 +99,8 @@ class Lattice:
                         best[b], back[b] = c, (a, got[0])
                     elif c > second[b]:
                         second[b] = c
+            if a < marked:
+                continue
             b, c = a + 1, one + self.byte
             if c > best[b]:
                 second[b] = max(best[b], two + self.byte)

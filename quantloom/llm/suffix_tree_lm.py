@@ -6,12 +6,15 @@ kept if it is frequent (an N/CONTEXTS-th of all N symbols, so at most CONTEXTS
 a depth; counted over all training texts) and its next-byte distribution
 diverges from that of its parent (count times Kullback-Leibler divergence of
 DIVERGENCE or more), or if a longer kept context ends with it.  Distributions
-are smoothed towards their parents' and the root's towards the uniform one.  A
-text's score is the sum over its bytes of log10 P(byte | longest kept suffix).
+are smoothed towards their parents' and the root's towards the uniform one.
+The tree spells each token (a word and its blank, or the end mark) with the
+probability of its bytes given their longest kept suffixes; a text's score is
+the sum over its tokens of log10(SHARE * frequency + (1 - SHARE) * spelling),
+where frequency is the token's add-one frequency in the training texts.
 
-A base score with smoothed word frequencies goes with it.  Word counts are one
-table; words of an N/WORDS-th of all N tokens (WORDS at most) are broadcast,
-all others are joined by word after they were summed within each document.
+The base score uses the frequencies alone.  Word counts are one table; words of
+an N/WORDS-th of all N tokens (WORDS at most) are broadcast, all others are
+joined by word.
 
 Defined results: null text is empty (one end token); an empty training set
 scores with uniform bytes and zero counts; repeated rows each return their
@@ -22,7 +25,6 @@ processed whole.  Only text and doc_id (which decides the split) are inputs.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from . import common
 from .language_id import held_out
 
 DEPTH, CONTEXTS, DIVERGENCE, PULL = 5, 8_000, 8.0, 4.0
-WORDS = 500_000
+WORDS, SHARE = 500_000, 0.7
 END = 10
 BLOCK = 1 << 20
 
@@ -237,62 +239,56 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     norm = math.log10(total + 1 * ((kinds + (n_docs > 0)) + 1))
     frequent = counts.filter(F.col("c") >= max(1, total / WORDS)).toPandas()  # WORDS rows at most
     known = dict(zip([w.encode("utf-8", "surrogatepass") for w in frequent["word"]], np.log10(frequent["c"].to_numpy(float) + 1).tolist()))
+    known[b"\n"] = math.log10(n_docs + 1)
     held = spark.sparkContext.broadcast((tree, known))
-    end = math.log10(n_docs + 1)
 
     def run(batches):
         from pyspark import TaskContext
 
         tree, known = held.value
         row = TaskContext.get().partitionId() << 40
+        none = lambda n, kind: pa.nulls(n, kind)
         for b in batches:
             raw, at = common.utf8_buffers(b.column("text"))
-            sums = np.zeros(len(b))
             for i, j, part, cut in _blocks(raw, at):
                 s, ends = stream(part, cut)
-                sums[i:j] = np.add.reduceat(tree.log10(s, ends).astype(np.float64), np.concatenate([[0], ends[:-1]]))
-            view, ids, flags = raw.tobytes(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()
-            rid, key, doc, flag, toks, knw, base, model, n = ([] for _ in range(9))
-            for i in range(len(b)):
-                words = Counter(view[at[i] : at[i + 1]].translate(common.LOWER_BYTES).split())
-                t = k = 0
-                x = 0.0
-                for w, c in words.items():
-                    t += c
-                    got = known.get(w)
-                    if got is None:
-                        rid.append(row)
-                        key.append(w)
-                        n.append(c)
-                    else:
-                        k += c
-                        x += c * got
-                rare = len(rid) - len(doc)
-                pad = [None] * rare
-                for col in (doc, flag, toks, knw, base, model):
-                    col.extend(pad)
-                rid.append(row)
-                key.append(b" %d" % row)  # no word has a blank
-                n.append(0)
-                doc.append(ids[i])
-                flag.append(flags[i])
-                toks.append(t + 1)
-                knw.append(k + (n_docs > 0))
-                base.append(x + end - (t + 1) * norm)
-                model.append(float(sums[i]))
-                row += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(key, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(doc, pa.int64()), pa.array(flag, pa.bool_()), pa.array(toks, pa.int64()), pa.array(knw, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64())],
-                names=["rid", "word", "n", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
-            )
-
-    schema = "rid long, word string, n long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+                mark = (s == 32) | (s == END)
+                begin = np.flatnonzero(np.concatenate([[True], mark[:-1]]))
+                spell = np.add.reduceat(tree.log10(s, ends).astype(np.float64), begin)
+                words = s.tobytes().replace(b"\n", b"\n ").split(b" ")[:-1]
+                freq = np.array(list(map(known.get, words)), float)
+                doc = np.searchsorted(ends, begin, side="right")
+                rare = np.isnan(freq)
+                ok = ~rare
+                freq -= norm
+                both = np.log10(SHARE * 10 ** freq[ok] + (1 - SHARE) * 10 ** np.maximum(spell[ok], -300))
+                n = j - i
+                sums = lambda x, pick: pa.array(np.bincount(doc[pick], weights=x, minlength=n))
+                tokens = np.bincount(doc, minlength=n)
+                common_n = np.bincount(doc[ok], minlength=n) - (n_docs == 0)
+                left = np.flatnonzero(rare)
+                ids = row + np.arange(n)
+                row += n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([ids, ids[doc[left]]])),
+                        pa.array([b" %d" % x for x in ids.tolist()] + [words[x] for x in left.tolist()], pa.binary()).cast(pa.string()),  # no word has a blank
+                        pa.array(np.concatenate([np.zeros(n), spell[left]])),
+                        pa.concat_arrays([b.column("doc_id").slice(i, n), none(len(left), pa.int64())]), pa.concat_arrays([b.column("held_out").slice(i, n), none(len(left), pa.bool_())]),
+                        pa.concat_arrays([pa.array(tokens), none(len(left), pa.int64())]), pa.concat_arrays([pa.array(common_n), none(len(left), pa.int64())]),
+                        pa.concat_arrays([sums(freq[ok], ok), none(len(left), pa.float64())]), pa.concat_arrays([sums(both, ok), none(len(left), pa.float64())]),
+                    ],
+                    names=["rid", "word", "spell", "doc_id", "held_out", "n_tokens", "known", "base", "score"],
+                )
+
+    schema = "rid long, word string, spell double, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
     rows = d.withColumn("held_out", out).mapInArrow(run, schema)
     rows = rows.join(counts, "word", "left")
-    seen = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    rows = rows.withColumns({"known": F.coalesce("known", seen), "base": F.coalesce("base", F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))})
+    freq = F.log10(F.coalesce("c", F.lit(0)) + 1.0) - norm
+    mixed = F.log10(SHARE * F.pow(F.lit(10.0), freq) + (1 - SHARE) * F.pow(F.lit(10.0), F.greatest("spell", F.lit(-300.0))))
+    rows = rows.withColumns({"known": F.coalesce("known", F.col("c").isNotNull().cast("long")), "base": F.coalesce("base", freq), "score": F.coalesce("score", mixed)})
     got = rows.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
-        F.sum("base").alias("base_score"), F.max("score").alias("score"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     )
     return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
