@@ -56,8 +56,9 @@ def passages(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     passage = np.repeat(np.arange(len(start)), size.astype(int))
     x = np.zeros((len(start), FEATURES), np.float32)
     x[:, :CLASSES] = np.bincount(passage * CLASSES + kind, minlength=len(start) * CLASSES).reshape(-1, CLASSES) / size[:, None]
-    pair = (kind[:-1].astype(np.int64) * CLASSES + kind[1:]) % PAIRS
-    x[:, CLASSES : CLASSES + PAIRS] = np.bincount(passage[1:] * PAIRS + pair, minlength=len(start) * PAIRS).reshape(-1, PAIRS) / size[:, None]
+    before = np.concatenate([[1], kind[:-1]]).astype(np.int64)  # a line feed stands before a text
+    pair = (before * CLASSES + kind) % PAIRS
+    x[:, CLASSES : CLASSES + PAIRS] = np.bincount(passage * PAIRS + pair, minlength=len(start) * PAIRS).reshape(-1, PAIRS) / size[:, None]
     # Words: their number, length, and how many repeat the last one or the one before it.
     begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if len(begin):
@@ -70,7 +71,7 @@ def passages(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words = np.bincount(owner, minlength=len(start)).astype(np.float32)
         per = np.maximum(words, 1)
         x[:, -6] = np.log1p(words) / 6
-        x[:, -5] = np.minimum(size / per / 16, 4)
+        x[:, -5] = np.where(words > 0, np.minimum(size / per / 16, 4), 0)
         x[:, -4] = np.bincount(owner, weights=same, minlength=len(start)) / per
         x[:, -3] = np.bincount(owner, weights=two, minlength=len(start)) / per
         x[:, -2] = np.bincount(owner[fresh], minlength=len(start)) / per
