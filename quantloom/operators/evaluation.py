@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 
+#: Correlations up to this are zero but for rounding.
+TINY = 1e-12
+
 
 def forward_returns(panel: DataFrame, horizons: tuple[int, ...] = (1, 5, 10, 20), price: str = "close") -> DataFrame:
     return panel.withColumns({f"fwd_{h}": W.div(W.lead(F.col(price), h), F.col(price)) - 1 for h in horizons})
@@ -28,7 +31,7 @@ def ic_summary(ic: DataFrame, by: tuple = ()) -> DataFrame:
     n, sd = F.count(v), F.stddev_samp(v)
     return ic.groupBy(*by).agg(
         F.avg(v).alias("mean_ic"), sd.alias("std_ic"), (W.div(F.avg(v), sd) * math.sqrt(252)).alias("icir"), (W.div(F.avg(v), sd) * F.sqrt(n)).alias("t_stat"),
-        F.avg((v > 0).cast("double")).alias("hit_rate"), W.unbiased_skew(F.skewness(v), n).alias("skew"), W.unbiased_kurtosis(F.kurtosis(v), n).alias("kurt"), n.alias("n"),
+        F.avg((v > TINY).cast("double")).alias("hit_rate"), W.unbiased_skew(F.skewness(v), n).alias("skew"), W.unbiased_kurtosis(F.kurtosis(v), n).alias("kurt"), n.alias("n"),
     )
 
 
@@ -84,7 +87,7 @@ def monotonicity(bins: DataFrame) -> DataFrame:
 def stability(ic: DataFrame, chunks: int = 3) -> DataFrame:
     """Mean and share of positive IC in consecutive chunks of dates, the first ones longer."""
     d = ic.withColumn("chunk", F.ntile(chunks).over(Window.orderBy("date")))  # one row a date
-    return d.groupBy("chunk").agg(F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
+    return d.groupBy("chunk").agg(F.avg("ic").alias("mean_ic"), F.avg((F.col("ic") > TINY).cast("double")).alias("hit_rate"), F.count("*").alias("n"))
 
 
 def capacity(df: DataFrame, x: str, dollar: str, q: int = 5, share: float = 0.1) -> DataFrame:
