@@ -51,7 +51,8 @@ def fingerprints(df: DataFrame, window: int, gram: int, lengths: list[int]) -> D
     n = F.size("words")
     d = df.withColumn("_h", F.transform(F.when(n >= window, F.sequence(F.lit(0), n - gram)).otherwise(F.array().cast("array<int>")), lambda i: _gram(i, gram)))
     width = window - gram + 1
-    d = d.withColumn("_m", F.transform(F.when(n >= window, F.sequence(F.lit(1), n - window + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_min(F.slice("_h", i, width))))
+    # _h is named outside the lambda too: a column that is named once would be put into it and computed for each window.
+    d = d.withColumn("_m", F.transform(F.when(n >= window, F.sequence(F.lit(1), F.size("_h") - width + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_min(F.slice("_h", i, width))))
     # Windows that begin a run of one minimum, and the window after the last one.
     first = F.filter(F.transform("_m", lambda m, i: F.when((i == 0) | (m != F.get("_m", i - 1)), i)), lambda i: i.isNotNull())
     d = d.withColumn("_first", F.concat(first, F.array(F.size("_m"))))
