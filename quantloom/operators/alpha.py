@@ -216,9 +216,9 @@ def walk_forward(d: DataFrame, xs: list[str], y: str, first: int = 252, every: i
         until = rows["date"].iloc[min(i + every, len(rows)) - 1]
         fits.append((rows["date"].iloc[i], until, float(c - slope @ mean), [float(v) for v in slope]))
     spark = d.sparkSession
-    table = spark.createDataFrame(fits, "start date, until date, c double, b array<double>")
-    j = d.join(F.broadcast(table), (d["date"] >= table["start"]) & (d["date"] <= table["until"]))
-    score = sum((F.col(x) * F.get("b", i) for i, x in enumerate(xs)), F.col("c"))
+    table = spark.createDataFrame(fits, "_start date, _until date, _c double, _b array<double>")
+    j = d.join(F.broadcast(table), (F.col("date") >= F.col("_start")) & (F.col("date") <= F.col("_until")))
+    score = sum((F.col(x) * F.get("_b", i) for i, x in enumerate(xs)), F.col("_c"))
     return j.select("date", "ticker", score.alias("prediction"))
 
 

@@ -108,7 +108,7 @@ def performance(pnl: DataFrame, x: str = "net_ret") -> DataFrame:
     dd = F.min("drawdown_net")
     return pnl.agg(
         ann.alias("ann_return"), vol.alias("ann_vol"), W.div(ann, vol).alias("sharpe"), W.div(ann, down).alias("sortino"), W.div(ann, F.abs(dd)).alias("calmar"), dd.alias("max_drawdown"),
-        F.avg((r > 0).cast("double")).alias("hit_rate"), F.count(r).alias("n"),
+        F.avg((r > 1e-12).cast("double")).alias("hit_rate"), F.count(r).alias("n"),
     )
 
 

