@@ -305,7 +305,7 @@ def _(s, d):
     return risk_model.ewma_covariance(book(s, d), ["ret", "mkt"]).select("f1", "f2", *_r("cov"))
 
 
-@query("op4_mean_variance_weights")
+@query("mv4_mean_variance_weights")
 def _(s, d):
     sig = signal(s, d)
     return risk_model.optimise(sig, panel.returns(s, d).filter("ret is not null"), "x", PF.rebalance_dates(sig)).select("date", "ticker", *_r("weight"))
