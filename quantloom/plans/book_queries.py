@@ -17,7 +17,7 @@ from ..operators import portfolio as PF
 from ..sources import panel
 from ..streaming import live
 from . import sql
-from .panel_queries import P, RIC, SIG, _r, effective, evaluated, rank_ic, signal
+from .panel_queries import _EFF, P, RIC, SIG, W_T, _r, effective, evaluated, rank_ic, signal
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -251,28 +251,35 @@ def long_frame(s: SparkSession, d: str) -> DataFrame:
     return effective(s, d).join(fwd, ["date", "ticker"])
 
 
-@query("rd2_factor_correlation")
+_ICIR = _EFF + f""", fw AS (SELECT date, ticker, lead(close, 1) OVER {W_T} / nullif(close, 0) - 1 AS fwd FROM p), lj AS (SELECT e.date, e.ticker, factor, value, fwd FROM e JOIN fw ON e.date = fw.date AND e.ticker = fw.ticker),
+lk AS (SELECT date, factor, {sql.rank('value', 'date, factor')} AS a, {sql.rank('fwd', 'date, factor')} AS b FROM lj WHERE fwd IS NOT NULL), li AS (SELECT date, factor, CASE WHEN count(*) >= 5 THEN {sql.corr('a', 'b')} END AS ic FROM lk GROUP BY date, factor),
+lr AS (SELECT date, factor, CASE WHEN count(ic) OVER v >= 40 THEN avg(ic) OVER v / nullif(stddev_samp(ic) OVER v, 0) END AS raw FROM li WINDOW v AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 125 PRECEDING AND CURRENT ROW)),
+lw AS (SELECT date, factor, greatest(lag(raw) OVER (PARTITION BY factor ORDER BY date), 0) AS w FROM lr),
+ln AS (SELECT date, factor, CASE WHEN sum(w) OVER d > 0 THEN coalesce(w, 0) / sum(w) OVER d ELSE 1.0 / count(*) OVER d END AS weight FROM lw WINDOW d AS (PARTITION BY date))"""
+
+
+@query("rd2_factor_correlation", _EFF + f", k AS (SELECT date, ticker, factor, {sql.rank('value', 'date, factor')} / count(*) OVER (PARTITION BY date, factor) AS v FROM e) SELECT a.factor AS f1, b.factor AS f2, round({sql.corr('a.v', 'b.v')}, 6) AS corr, count(*) AS n FROM k a JOIN k b ON a.date = b.date AND a.ticker = b.ticker AND a.factor < b.factor GROUP BY 1, 2")
 def _(s, d):
     return A.factor_correlation(effective(s, d)).select("f1", "f2", *_r("corr"), "n")
 
 
-@query("rd3_cosine")
+@query("rd3_cosine", _EFF + " SELECT a.factor AS f1, b.factor AS f2, round(sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value)), 6) AS cosine FROM e a JOIN e b ON a.date = b.date AND a.ticker = b.ticker AND a.factor < b.factor GROUP BY 1, 2")
 def _(s, d):
     return A.cosine(effective(s, d)).select("f1", "f2", *_r("cosine"))
 
 
-@query("am6_rolling_icir")
+@query("am6_rolling_icir", _ICIR + " SELECT date, factor, round(weight, 6) AS weight FROM ln")
 def _(s, d):
     return A.combine_icir(long_frame(s, d)).select("date", "factor", *_r("weight"))
 
 
-@query("am11_alpha")
+@query("am11_alpha", _ICIR + " SELECT lj.date, ticker, round(sum(weight * coalesce(value, 0)), 6) AS alpha FROM lj JOIN ln ON lj.date = ln.date AND lj.factor = ln.factor GROUP BY 1, 2")
 def _(s, d):
     f = long_frame(s, d)
     return A.alpha_signal(f, A.combine_icir(f)).select("date", "ticker", *_r("alpha"))
 
 
-@query("am1_weighted_rank")
+@query("am1_weighted_rank", _EFF + " SELECT date, ticker, round(avg(value * CASE WHEN factor = 'STR_1W' THEN 0.4 ELSE 0.6 END), 6) AS score FROM e GROUP BY 1, 2")
 def _(s, d):
     return A.weighted_rank(effective(s, d), {"STR_1W": 0.4, "MOM_1M": 0.6}).select("date", "ticker", *_r("score"))
 
