@@ -2,9 +2,11 @@
 
 Candidates come from SimHash fingerprints of five-word shingles within LIMIT
 bits (``simhash.py``); a candidate link counts if the two texts' shingle sets
-have a Jaccard similarity of SIMILARITY or more.  Blocks report their closest
-candidates first and as a spanning forest, so a link is missed only where
-closer candidates joined its ends and failed that test.  At LIMIT = 14 bits a
+have a Jaccard similarity of SIMILARITY or more.  A first pass over the blocks
+of fingerprints finds the members of candidate links, and a second one gets
+their texts, tests the links and reports a spanning forest of those that pass:
+only a link between texts that passed links already join is not tested.  A link
+is tested in the first partition in which its ends meet.  At LIMIT = 14 bits a
 pair of similarity 0.8 (about 10 bits apart) is a candidate with a probability
 of about 0.95, and one of 0.9 with 0.999.
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import fingerprint, links, shingles
+from .simhash import BLOCK_KEY, by_block, deal, fingerprint, plan, shingles
 
 SHINGLE, LIMIT, SIMILARITY = 5, 14, 0.8
 
@@ -33,30 +35,118 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in shingles(text, size)], np.uint64))
 
 
-def similar(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (fp, text) are similar enough."""
-    common.small_batches(pairs.sparkSession)
+def marks(text: str | None, size: int = SHINGLE) -> tuple[int, int]:
+    """Fingerprint and node of a text."""
+    fp = fingerprint(text, size)
+    return fp, fp
+
+
+def blocks(batches, columns: int):
+    """(key, columns after it) of the blocks of rows that are sorted by BLOCK_KEY."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:4] != key:
+                if held:
+                    yield key, list(zip(*held))
+                key, held = row[:4], []
+            held.append(row[4 : 4 + columns])
+    if held:
+        yield key, list(zip(*held))
+
+
+def candidates(key: tuple, k, probe, fp, masks: np.ndarray, reach: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two ends of a block's links within limit that no earlier partition has, closest links first."""
+    i, _, x, y = key
+    f, own = np.array(fp, np.int64).view(np.uint64), ~np.array(probe, bool)
+    low = np.array(k) == x
+    left = np.flatnonzero(low)
+    right = left if x == y else np.flatnonzero(~low)
+    step, found = max(1, (1 << 20) // max(1, len(right))), [np.zeros((3, 0), np.int64)]
+    for s in range(0, len(left), step):
+        part = left[s : s + step]
+        differ = f[part, None] ^ f[None, right]
+        apart = np.bitwise_count(differ)
+        ok = (apart <= limit) & (own[part, None] | own[None, right])
+        if x == y:
+            ok &= part[:, None] < right[None, :]
+        a, b = np.nonzero(ok)
+        d = differ[a, b]
+        new = np.ones(len(d), bool)
+        for mask, t in zip(masks[:i], reach[:i]):
+            new &= np.bitwise_count(d & mask) > t
+        a, b = a[new], b[new]
+        found.append(np.array([part[a], right[b], apart[a, b]], np.int64))
+    a, b, apart = np.concatenate(found, axis=1)
+    order = np.argsort(apart, kind="stable")
+    return a[order], b[order]
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return n >= similarity * (len(both) - n)
+
+
+def tested_forest(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links (a, b) whose sets are similar enough."""
+    size = np.array([len(s) for s in sets])
+    fit = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
+    a, b = a[fit], b[fit]
+    root, out, step = list(range(len(sets))), [], 1024
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    while len(a):
+        for x, y in zip(a[:step].tolist(), b[:step].tolist()):
+            rx, ry = find(x), find(y)
+            if rx != ry and similar(sets[x], sets[y], similarity):
+                root[max(rx, ry)] = min(rx, ry)
+                out.append((x, y))
+        label = np.array([find(x) for x in range(len(sets))])
+        a, b = a[step:], b[step:]
+        apart = label[a] != label[b]
+        a, b, step = a[apart], b[apart], 2 * step
+    return out
+
+
+def members(nodes: DataFrame, limit: int, chosen: list) -> DataFrame:
+    """BLOCK_KEY, k, probe, fp and node of the rows of each block that are an end of a candidate link."""
+    masks, reach = _masks(chosen)
 
-    def sets(batches):
-        for b in batches:
-            x = [shingle_set(t, size).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(x, pa.binary())], names=["fp", "x"])
+    def run(batches):
+        for key, (k, probe, fp, node) in blocks(batches, 4):
+            at = np.unique(np.concatenate(candidates(key, k, probe, fp, masks, reach, limit)))
+            if len(at):
+                cols = [pa.array([v] * len(at), kind) for v, kind in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+                cols += [pa.array([c[j] for j in at.tolist()], kind) for c, kind in ((k, pa.int32()), (probe, pa.bool_()), (fp, pa.int64()), (node, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*BLOCK_KEY, "k", "probe", "fp", "node"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    s = texts.join(nodes, "fp").mapInArrow(sets, "fp long, x binary")
-    both = pairs.join(s.select(F.col("fp").alias("a"), "x"), "a").join(s.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b")
+    return deal(nodes, limit, chosen).mapInArrow(run, "i int, v long, x int, y int, k int, probe boolean, fp long, node long")
 
-    def test(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common_n = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - common_n
-                ok.append(common_n >= similarity * union)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(test, "a long, b long")
+def _masks(chosen: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([sum(1 << b for b in bits) for bits, _ in chosen], np.uint64), np.array([t for _, t in chosen])
+
+
+def tested_links(found: DataFrame, texts: DataFrame, size: int, limit: int, similarity: float, chosen: list) -> DataFrame:
+    """(a, b): links of nodes, enough to connect what links of similar texts (node, text) connect."""
+    masks, reach = _masks(chosen)
+
+    def run(batches):
+        for key, (k, probe, fp, node, text) in blocks(batches, 5):
+            a, b = candidates(key, k, probe, fp, masks, reach, limit)
+            out = tested_forest(a, b, [shingle_set(t, size) for t in text], similarity)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([node[p[i]] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rows = found.join(texts, "node").select(*BLOCK_KEY, "k", "probe", "fp", "node", "text")
+    return by_block(rows).mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT, similarity: float = SIMILARITY) -> DataFrame:
@@ -66,17 +156,19 @@ def groups(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT, similarity:
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
-
-    rows = common.stored(d.mapInArrow(run, "doc_id long, th long, fp long"), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("fp", "f.*")
-    pairs = common.stored(links(rows.select("fp").distinct(), limit).distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    heads = first.join(nodes, "fp").select("fp", F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    texts = d.join(heads, d["doc_id"].eqNullSafe(F.col("_d")) & (d["th"] == F.col("_t"))).select("fp", "text").dropDuplicates(["fp"])
-    found = components(similar(pairs, texts, size, similarity), "near")
-    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "th", F.coalesce("root", "fp").alias("root"))
+            at = np.array([marks(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["doc_id", "th", "fp", "node"])
+
+    rows = common.stored(d.mapInArrow(run, "doc_id long, th long, fp long, node long"), "fingerprints")
+    first = common.stored(rows.groupBy("fp", "node").agg(F.min(F.struct("doc_id", "th")).alias("f")), "nodes")
+    nodes = first.select("fp", "node")
+    chosen = plan(nodes, limit)
+    found = common.stored(members(nodes, limit, chosen), "candidates")
+    heads = first.join(found.select("node").distinct(), "node").select("node", F.col("f.doc_id").alias("_d"), F.col("f.th").alias("_t"))
+    texts = d.join(heads, d["doc_id"].eqNullSafe(F.col("_d")) & (d["th"] == F.col("_t"))).select("node", "text").dropDuplicates(["node"])
+    links = common.stored(tested_links(found, texts, size, limit, similarity, chosen), "links")
+    near = components(links, "near")
+    return rows.join(near, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, limit: int = LIMIT, similarity: float = SIMILARITY) -> DataFrame:

@@ -41,6 +41,7 @@ SHINGLE, LIMIT, BUCKET = 3, 3, 1024
 #: Work of shuffling one row, in verified pairs.
 ROW_COST = 300.0
 ONE = np.uint64(1)
+BLOCK_KEY = ["i", "v", "x", "y"]
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -59,7 +60,11 @@ def shingles(text: str | None, size: int) -> list[bytes]:
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     import xxhash
 
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, size)], np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, size)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     if not len(h):
         return 0
     total = np.zeros(64, np.int64)
@@ -218,10 +223,11 @@ def _entry(i: int, value, probe: bool):
     return lambda m: F.struct(F.lit(i).alias("i"), value.bitwiseXOR(m).alias("v"), F.lit(probe).alias("probe"))
 
 
-def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp) within ``limit`` bits, enough to connect what is connected."""
-    spark = fps.sparkSession
-    chosen = plan(fps, limit)
+def deal(fps: DataFrame, limit: int, chosen: list[tuple[list[int], int]]) -> DataFrame:
+    """Rows (i, v, x, y, k, probe, fp, node) of the blocks x and y of buckets v of partitions i, block by block.
+
+    fps: fp and node, one row a node; k is the row's own block.
+    """
     kinds = []
     for i, (bits, t) in enumerate(chosen):
         value = part_value(F.col("fp"), bits)
@@ -230,18 +236,26 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
             if flips:
                 masks = F.array(*[F.lit(int(np.array(m, np.uint64).view(np.int64))) for m in flips])
                 kinds.append(F.transform(masks, _entry(i, value, probe)))
-    rows = fps.select("fp", F.explode(F.concat(*kinds)).alias("x")).select("x.i", "x.v", "x.probe", "fp")
+    rows = fps.select("fp", "node", F.explode(F.concat(*kinds)).alias("x")).select("x.i", "x.v", "x.probe", "fp", "node")
     # Buckets of one row need nothing; larger ones are cut into blocks of BUCKET rows by a hash.
     sizes = rows.groupBy("i", "v").agg(F.count("*").alias("n"), F.count(F.when(~F.col("probe"), 1)).alias("own")).filter("n > 1 and own > 0")
     sizes = sizes.select("i", "v", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks"))
     rows = rows.join(sizes, ["i", "v"])
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("k", block)
     low, high = F.least("k", F.col("o")), F.greatest("k", F.col("o"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("i", "v", low.alias("x"), high.alias("y"), "k", "probe", "fp")
-    parts = common.shuffle_parts(spark)
-    dealt = rows.repartition(parts, "i", "v", "x", "y").sortWithinPartitions("i", "v", "x", "y")
+    rows = rows.select("i", "v", low.alias("x"), high.alias("y"), "k", "probe", "fp", "node")
+    return by_block(rows)
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition(common.shuffle_parts(rows.sparkSession), *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY)
+
+
+def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) within ``limit`` bits, enough to connect what is connected."""
+    dealt = deal(fps.select("fp", F.col("fp").alias("node")), limit, plan(fps, limit)).drop("node")
 
     def run(batches):
         def done(own, probe):

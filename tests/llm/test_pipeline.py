@@ -48,3 +48,27 @@ def test_empty_documents(spark):
     for name, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
+
+
+def test_near_copies_are_tested_before_links_are_thinned(spark):
+    import random
+
+    r, texts = random.Random(7), []
+    for g in range(2):
+        base = helpers.text(60 + g, 400).split()
+        for _ in range(150):
+            w = list(base)
+            for k in r.sample(range(400), r.randrange(3, 8)):
+                w[k] = f"new{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [set(nd.shingle_set(t).tolist()) for t in texts]
+    fps = [nd.marks(t)[0] for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if root[a] != root[b] and (fps[a] ^ fps[b]).bit_count() <= nd.LIMIT and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                root = [root[b] if x == root[a] else x for x in root]
+    want = [root.index(x) for x in sorted(set(root), key=root.index)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in nd.keep_one(docs).collect()) == want
