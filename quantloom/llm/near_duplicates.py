@@ -1,7 +1,8 @@
 """Near-duplicate groups of which one document stays.
 
-Candidates come from SimHash fingerprints of five-word shingles within LIMIT
-bits (``simhash.py``); a candidate link counts if the two texts' shingle sets
+Texts with one set of five-word shingles are one node.  Candidates come from
+SimHash fingerprints of those sets (repeats do not count) within LIMIT bits,
+equal ones included (``simhash.py``); a candidate link counts if the two texts' shingle sets
 have a Jaccard similarity of SIMILARITY or more.  A first pass over the blocks
 of fingerprints finds the members of candidate links, and a second one gets
 their texts, tests the links and reports a spanning forest of those that pass:
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .simhash import BLOCK_KEY, by_block, deal, fingerprint, plan, shingles
+from .simhash import BLOCK_KEY, by_block, deal, majority, plan, shingles
 
 SHINGLE, LIMIT, SIMILARITY = 5, 14, 0.8
 
@@ -36,9 +37,11 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def marks(text: str | None, size: int = SHINGLE) -> tuple[int, int]:
-    """Fingerprint and node of a text."""
-    fp = fingerprint(text, size)
-    return fp, fp
+    """Fingerprint and node (a hash of the whole set) of a text's shingle set."""
+    import xxhash
+
+    x = shingle_set(text, size)
+    return majority(x), xxhash.xxh3_64_intdigest(x.tobytes())
 
 
 def blocks(batches, columns: int):

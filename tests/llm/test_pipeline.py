@@ -72,3 +72,24 @@ def test_near_copies_are_tested_before_links_are_thinned(spark):
     want = [root.index(x) for x in sorted(set(root), key=root.index)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in nd.keep_one(docs).collect()) == want
+
+
+def test_repeated_lines_neither_join_nor_part_texts(spark):
+    line = "\nall of it was said before"
+    texts = [helpers.text(70, 150) + line * 60, helpers.text(71, 150) + line * 60]
+    for i in range(5):
+        base = helpers.text(72 + i, 150)
+        texts += [base + line, base + line * 11]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard(texts[0], texts[1]) < 0.1 and jaccard(texts[2], texts[3]) > 0.9
+    assert sorted(x.doc_id for x in nd.keep_one(docs).collect()) == [0, 1, 2, 4, 6, 8, 10]
+
+
+def test_sets_of_equal_fingerprint_are_candidates_and_tested(spark):
+    texts = {1: helpers.text(80, 50), 2: helpers.text(81, 50), 3: helpers.text(80, 50) + " end", 4: helpers.text(82, 50)}
+    nodes = spark.createDataFrame([(5, 1), (5, 2), (5, 3), (-1, 4)], "fp long, node long")
+    chosen = nd.plan(nodes, nd.LIMIT)
+    found = nd.members(nodes, nd.LIMIT, chosen)
+    assert {x.node for x in found.collect()} == {1, 2, 3}
+    links = nd.tested_links(found, spark.createDataFrame(list(texts.items()), "node long, text string"), 5, nd.LIMIT, 0.8, chosen)
+    assert {tuple(sorted((x.a, x.b))) for x in links.collect()} == {(1, 3)}
