@@ -8,8 +8,9 @@ exact heuristic for an A* search from the end back to the start, so the search
 takes paths off its queue in order of their score and the first N that arrive
 are the N best.
 
-Pieces hold a mark at their start only, so the lattice of a text falls into
-those of its words, and a worker segments each new word once.  The forward pass
+No piece holds a mark after another symbol (``load`` makes sure), so the lattice
+of a text falls into those of its words, each with the run of blanks before it
+(pieces of several blanks included), and a worker segments each new word once.  The forward pass
 also gives the score of a word's second-best path.  A path among the N best of
 a text leaves the best path in the N - 1 words at most whose second-best
 segmentation costs least; A* runs over the lattices of those.
@@ -49,7 +50,9 @@ def load(path: str) -> tuple[dict[bytes, tuple[int, float]], list[int], list[byt
         if sp.is_byte(i):
             single[int(piece[3:5], 16)] = i
             back[i] = bytes([int(piece[3:5], 16)])
-        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and MARK not in piece[1:]:
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            if MARK in piece.lstrip(MARK):
+                raise ValueError(f"piece {i} has a mark after another symbol: texts do not fall into words")
             table[piece.encode()] = (i, sp.get_score(i))
             back[i] = piece.replace(MARK, " ").encode()
     return table, single, back
@@ -69,16 +72,20 @@ class Lattice:
 
     @staticmethod
     def marked(word: bytes) -> int:
-        """Bytes at the start of a word that stand for a blank and must not become byte pieces."""
-        return 3 if word[:3] == b"\xe2\x96\x81" else 0
+        """Bytes at the start of a word that stand for blanks and must not become byte pieces."""
+        n = 0
+        while word[n : n + 3] == b"\xe2\x96\x81":
+            n += 3
+        return n
 
-    def edges(self, word: bytes, end: int):
+    def edges(self, word: bytes, end: int, marked: int | None = None):
         """(start, id, score) of the pieces that end at ``end``, longest first."""
+        marked = self.marked(word) if marked is None else marked
         for start in range(max(0, end - self.longest), end):
             got = self.table.get(word[start:end])
             if got is not None:
                 yield start, got[0], got[1]
-        if end > self.marked(word):
+        if end > marked:
             yield end - 1, self.single[word[end - 1]], self.byte
 
     def forward(self, word: bytes) -> tuple[list[float], tuple[int, ...], float]:
@@ -115,15 +122,20 @@ class Lattice:
 
     def a_star(self, word: bytes, ahead: list[float], n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids) of a word, from its end back; ahead: its forward Viterbi scores."""
-        queue, out, tick = [(-ahead[-1], 0, len(word), 0.0, ())], [], 0
+        # Of equal scores the path nearest its end goes first: long runs of blanks have very many equal paths.
+        queue, out, tick, marked = [(-ahead[-1], len(word), 0, 0.0, None)], [], 0, self.marked(word)
         while queue and len(out) < n:
-            _, _, at, done, ids = heapq.heappop(queue)
+            _, at, _, done, path = heapq.heappop(queue)
             if at == 0:
-                out.append((done, ids))
+                ids = []
+                while path is not None:
+                    piece, path = path
+                    ids.append(piece)
+                out.append((done, tuple(ids)))
                 continue
-            for start, piece, score in self.edges(word, at):
+            for start, piece, score in self.edges(word, at, marked):
                 tick += 1
-                heapq.heappush(queue, (-(ahead[start] + score + done), tick, start, done + score, (piece, *ids)))
+                heapq.heappush(queue, (-(ahead[start] + score + done), start, tick, done + score, (piece, path)))
         return out
 
     def learn(self, words: list[bytes]) -> None:
@@ -154,23 +166,26 @@ class Lattice:
 
 
 def words_of(text: str) -> list[bytes]:
-    """The marked words whose concatenation is the text's symbols; a literal mark is set apart to become bytes."""
+    """The marked words whose concatenation is the text's symbols, each behind all marks of the blanks before it.
+
+    A literal mark is set apart, after \\xff, to become bytes.
+    """
     if not text:
         return []
-    raw = text.encode("utf-8", "surrogatepass")
-    return [b"\xe2\x96\x81" + w for w in raw.split(b" ")]
-
-
-def _split(word: bytes) -> list[bytes]:
-    """A word without its pieces that must become bytes."""
-    mark = MARK.encode()
-    if mark in word[3:]:
-        parts = word[3:].split(mark)
-        out = [mark + parts[0]]
-        for p in parts[1:]:
-            out += [b"\xff" + mark] + ([p] if p else [])
-        return out
-    return [word]
+    mark, out = MARK.encode(), []
+    for k, part in enumerate(text.encode("utf-8", "surrogatepass").split(mark)):
+        first, *rest = part.split(b" ")
+        if k:
+            out.append(b"\xff" + mark)
+        blanks = b"" if k else mark
+        for w in (first, *rest):
+            if w:
+                out.append(blanks + w)
+                blanks = b""
+            blanks += mark
+        if len(blanks) > 3:
+            out.append(blanks[3:])
+    return out
 
 
 def encoder(path: str):
@@ -180,7 +195,7 @@ def encoder(path: str):
     mark = tuple(single[b] for b in MARK.encode())
 
     def encode(texts: list[str | None], n: int) -> list[list[tuple[float, list[int]]]]:
-        split = [[p for w in words_of(t or "") for p in _split(w)] for t in texts]
+        split = [words_of(t or "") for t in texts]
         if len(lattice.known) > CACHE:
             lattice.known = {}
         new = list({p for ps in split for p in ps if p not in lattice.known})

@@ -67,3 +67,32 @@ def test_operator(spark):
     got = pieces.encode(common.id_text(helpers.odd(spark)), PATH).collect()
     assert len(got) == len(helpers.odd_rows()) and all(r.round_trip for r in got)
     assert pieces.encode(common.id_text(helpers.none(spark)), PATH).collect() == []
+
+
+def test_runs_of_blanks_use_their_pieces():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    full = {sp.id_to_piece(i).encode(): (i, sp.get_score(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    encode, decode = pieces.encoder(PATH)
+    four = sp.piece_to_id("▁▁▁▁")
+    assert four != sp.unk_id()
+    lattice = pieces.Lattice(full, list(range(256)))
+    for t in ("a    b", "  x", "if:\n    y  ", "   ", "a     b c"):
+        got = encode([t], 4)[0]
+        assert all(decode(ids) == t.encode() for _, ids in got) and len({tuple(ids) for _, ids in got}) == len(got)
+        # One lattice over the whole text, cut nowhere.
+        symbols = ("▁" + t.replace(" ", "▁")).encode()
+        best = [{} for _ in range(len(symbols) + 1)]
+        best[0] = {(): 0.0}
+        for end in range(1, len(symbols) + 1):
+            new = {}
+            for start in range(end):
+                if symbols[start:end] in full:
+                    i, s = full[symbols[start:end]]
+                    new |= {(*ids, i): c + s for ids, c in best[start].items()}
+            if symbols[end - 1 : end] == b"\n":
+                new |= {(*ids, sp.piece_to_id("<0x0A>")): c + lattice.byte for ids, c in best[end - 1].items()}
+            best[end] = dict(sorted(new.items(), key=lambda x: -x[1])[:4])
+        assert [s for s, _ in got] == sorted(best[-1].values(), reverse=True)
+    assert len(encode(["a" + " " * 40_000 + "b"], 4)[0]) == 4
