@@ -17,7 +17,7 @@ smaller document, or earlier in the same one) is removed.
 Defined results: null text is empty; an empty table gives an empty result; a
 null doc_id sorts first; rows repeating both doc_id and text are one document
 and each returns its result; rows with one doc_id and different texts are
-ordered by 16 bits of the text's hash, which are part of their key.  Texts of any length are processed whole.
+ordered by the text's 64-bit hash, which is part of their key.  Texts of any length are processed whole.
 Columns other than doc_id and text are ignored.
 """
 
@@ -214,7 +214,7 @@ def _sort_shards(width: int):
         def flush():
             spans = later_windows(held, ids, np.array(starts, np.int64), width)
             return pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int32()), pa.array(starts, pa.int32()), pa.array(spans, pa.list_(pa.int32()))],
+                [pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()), pa.array(starts, pa.int32()), pa.array(spans, pa.list_(pa.int32()))],
                 names=["doc_id", "th", "start", "later"],
             )
 
@@ -271,19 +271,19 @@ def _apply(width: int, with_text: bool):
 
 
 def text_key(text):
-    """Column: 16 bits of the text's hash, which tell rows of one doc_id apart."""
-    return F.xxhash64(text).bitwiseAND(0xFFFF).cast("int")
+    """Column: the text's 64-bit hash, which tells rows of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """doc_id, th (16 bits of the text's hash), n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text.
+    """doc_id, th (the text's 64-bit hash), n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept_text.
 
     See the module for the rules and the results of odd input.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     d = common.id_text(docs).withColumn("th", text_key(F.col("text")))
-    runs = d.mapInArrow(_find_runs(width, gram), "h long, doc_id long, th int, start int, n int")
+    runs = d.mapInArrow(_find_runs(width, gram), "h long, doc_id long, th long, start int, n int")
     again = runs.groupBy("h").count().filter("count > 1").select("h")
     runs = runs.join(again, "h", "left_semi")
     runs = common.stored(runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "h")).alias("runs")), "runs")
@@ -292,13 +292,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, with_t
         o = other.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), other.columns[-1]).hint("shuffle_hash")
         return base.join(o, base["doc_id"].eqNullSafe(o["_d"]) & base["th"].eqNullSafe(o["_t"]), how).drop("_d", "_t")
 
-    digests = with_docs(runs, "inner").mapInArrow(_digest_runs(width), "c1 long, c2 long, doc_id long, th int, start int")
+    digests = with_docs(runs, "inner").mapInArrow(_digest_runs(width), "c1 long, c2 long, doc_id long, th long, start int")
     firsts = digests.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "th", "start")).alias("f")).select("f.*")
     firsts = firsts.groupBy("doc_id", "th").agg(F.collect_set("start").alias("firsts"))
-    contents = with_docs(firsts, "inner", with_docs(runs, "inner")).mapInArrow(_cut_runs(width), "h long, doc_id long, th int, start int, bytes binary")
+    contents = with_docs(firsts, "inner", with_docs(runs, "inner")).mapInArrow(_cut_runs(width), "h long, doc_id long, th long, start int, bytes binary")
     shards = contents.repartition(common.shuffle_parts(spark), "h").sortWithinPartitions("h")
-    spans = shards.mapInArrow(_sort_shards(width), "doc_id long, th int, start int, later array<int>")
+    spans = shards.mapInArrow(_sort_shards(width), "doc_id long, th long, start int, later array<int>")
     spans = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "later")).alias("firsts"))
     out = with_docs(spans, "left", with_docs(runs, "left"))
-    schema = "doc_id long, th int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return out.mapInArrow(_apply(width, with_text), schema + ", kept_text string" * with_text)

@@ -56,3 +56,17 @@ def test_table_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(helpers.none(spark), with_text=True).collect() == []
+
+
+def test_rows_of_one_doc_id_are_told_apart(spark):
+    # 1000 rows of null doc_id: 16 bits of a hash would give several pairs one key.
+    rows = [(None, helpers.text(5000 + i // 2, 30 + i % 2 * 9)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, with_text=True)
+    keys = got.select("th").distinct().count()
+    assert keys == len({t for _, t in rows})
+    order = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) h").collect()}
+    alone = [(k, t) for k, t in enumerate(sorted(order, key=order.get))]
+    want = suffix_dedup.remove_repeats(spark.createDataFrame(alone, docs.schema), with_text=True)
+    cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
