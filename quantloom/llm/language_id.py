@@ -3,15 +3,16 @@
 A document is a mixture of languages, each with its share.  Words are drawn
 from byte trigram models learned from labelled texts; expectation-maximisation
 estimates the shares from the words' likelihoods.  Sets of languages (the most
-likely one, the two of the largest shares, ...) compete by log-likelihood less
-PENALTY times half the log of the number of words for each language more; the
-winner's largest share is the prediction and its score.
+likely one, the two of the largest shares, ... up to all learned ones) compete
+by log-likelihood less PENALTY times half the log of the number of words for
+each language more.  The winner's languages and their shares are returned, the
+largest share first; it is the prediction and its score.
 
 Learning sums trigram counts on the executors: TABLE buckets a language leave
 them at most.  Prediction works on whole batches of texts at a time.
 
 Defined results: texts that are null or have no letter get ``und`` with score
-0; texts without a learned language (no training rows) too; equal shares go to
+0 and no languages; texts without a learned language (no training rows) too; equal shares go to
 the language that comes first in sorted order; repeated rows each return their
 result; an empty table gives an empty result.  Texts of any length are
 processed whole.  Only text is an input; doc_id is passed through.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLE, ROUNDS, PENALTY, MOST = 1 << 16, 8, 2.0, 3
+TABLE, ROUNDS, PENALTY = 1 << 16, 8, 2.0
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 20
 
@@ -105,23 +106,23 @@ def shares(word: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np
     return share, np.add.reduceat(ll, first)
 
 
-def predict_block(raw: np.ndarray, at: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language index or -1, share of it) of each document of a buffer."""
+def predict_block(raw: np.ndarray, at: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language index or -1, share of it, shares of all languages) of each document of a buffer."""
     docs = len(at) - 1
-    best, score = np.full(docs, -1), np.zeros(docs)
+    best, score, mix = np.full(docs, -1), np.zeros(docs), np.zeros((docs, model.shape[1]), np.float32)
     low = np.insert(lower(raw), at[1:], 32)  # every word ends with a blank
     if not len(low) or not model.shape[1]:
-        return best, score
+        return best, score, mix
     gram = model[trigrams(low)]
     blank = low == 32
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     if not len(starts):
-        return best, score
+        return best, score, mix
     word = np.add.reduceat(gram, starts, axis=0)
     owner = np.searchsorted(at + np.arange(docs + 1), starts, side="right") - 1
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     who = owner[first]
-    full, ll = shares(word, first, np.ones((len(who), model.shape[1]), np.float32))
+    full, full_ll = shares(word, first, np.ones((len(who), model.shape[1]), np.float32))
     n = np.diff(np.append(first, len(word)))
     rank = np.argsort(-full, axis=1, kind="stable")
     cost = PENALTY * 0.5 * np.log(n + 1.0)
@@ -129,16 +130,19 @@ def predict_block(raw: np.ndarray, at: np.ndarray, model: np.ndarray) -> tuple[n
     pick = single.argmax(axis=1)
     value = single.max(axis=1).astype(np.float64)
     top = np.ones(len(who))
-    for k in range(2, min(MOST, model.shape[1]) + 1):
+    chosen = np.zeros(full.shape, np.float32)
+    chosen[np.arange(len(who)), pick] = 1.0
+    for k in range(2, model.shape[1] + 1):
         allowed = np.zeros(full.shape, np.float32)
         np.put_along_axis(allowed, rank[:, :k], 1.0, axis=1)
-        share, ll = shares(word, first, allowed) if k < model.shape[1] else (full, ll)
+        share, ll = shares(word, first, allowed) if k < model.shape[1] else (full, full_ll)
         better = ll - (k - 1) * cost > value
         value = np.where(better, ll - (k - 1) * cost, value)
         pick = np.where(better, share.argmax(axis=1), pick)
         top = np.where(better, share.max(axis=1), top)
-    best[who], score[who] = pick, top
-    return best, score
+        chosen = np.where(better[:, None], share, chosen)
+    best[who], score[who], mix[who] = pick, top, chosen
+    return best, score, mix
 
 
 def _has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -152,7 +156,7 @@ def _has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred and score of every row, and what other columns docs has besides text."""
+    """doc_id, lang_pred, score, languages and proportions of every row, and what other columns docs has besides text."""
     langs, table = model
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -163,17 +167,25 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for b in batches:
             raw, at = common.utf8_buffers(b.column("text"))
             n = len(b)
-            best, score = np.full(n, -1), np.zeros(n)
+            best, score, mix = np.full(n, -1), np.zeros(n), np.zeros((n, len(langs)), np.float32)
             i = 0
             while i < n:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK, side="right")) - 1)
                 j = min(j, n)
-                best[i:j], score[i:j] = predict_block(raw[at[i] : at[j]], at[i : j + 1] - at[i], held.value)
+                best[i:j], score[i:j], mix[i:j] = predict_block(raw[at[i] : at[j]], at[i : j + 1] - at[i], held.value)
                 i = j
             best[~_has_letter(raw, at)] = -1
             names = [langs[k] if k >= 0 else "und" for k in best.tolist()]
             score = np.where(best >= 0, np.clip(score, 0.0, 1.0), 0.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score.astype(float))], names=[*keep, "lang_pred", "score"])
+            mix[best < 0] = 0
+            order = np.argsort(-mix, axis=1, kind="stable")
+            share = np.take_along_axis(mix, order, axis=1)
+            has = share > 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(has.sum(axis=1))]), pa.int32())
+            some = pa.ListArray.from_arrays(offsets, pa.array([langs[k] for k in order[has].tolist()], pa.string()))
+            parts = pa.ListArray.from_arrays(offsets, pa.array(share[has].astype(float)))
+            cols = [*(b.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score.astype(float)), some, parts]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "languages", "proportions"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, languages array<string>, proportions array<double>")

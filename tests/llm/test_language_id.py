@@ -55,3 +55,17 @@ def test_empty(spark):
     model = li.learn(none)
     assert model[0] == [] and li.identify(common.id_text(none), model).collect() == []
     assert {r.lang_pred for r in li.identify(common.id_text(helpers.odd(spark)), model).collect()} == {"und"}
+
+
+def test_languages_and_proportions_of_four_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = li.learn(docs)
+    some = docs.filter("n_chars > 1500").groupBy("lang").agg(F.min_by("text", "doc_id").alias("t")).collect()
+    assert len(some) == len(model[0]) == 4
+    t = {r.lang: r.t[:1400] for r in some}
+    mixed = spark.createDataFrame([(1, " ".join(t.values())), (2, t["de"]), (3, "12 34")], "doc_id long, text string")
+    four, one, none = sorted(li.identify(mixed, model).collect(), key=lambda r: r.doc_id)
+    assert sorted(four.languages) == sorted(t) and four.score < 0.33
+    assert abs(sum(four.proportions) - 1) < 1e-5 and four.proportions == sorted(four.proportions, reverse=True)
+    assert (four.languages[0], four.proportions[0]) == (four.lang_pred, four.score)
+    assert one.languages[0] == "de" and (none.languages, none.proportions) == ([], [])
