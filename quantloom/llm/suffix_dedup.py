@@ -9,8 +9,8 @@ smaller document, or earlier in the same one) is removed.
 2.  Runs whose minimiser occurs once cannot hold a repeated window and stop here.
 3.  Runs of equal bytes are merged under their first occurrence (partial sums
     before the shuffle), so thousands of copies reach a shard as one run.
-4.  A shard orders the suffixes of its runs by external induced sorting
-    (``induced.py``); suffixes whose common prefix reaches ``width`` are one
+4.  A shard orders the suffixes of its runs by induced sorting whose queue
+    spills to disk, but the shard itself must fit in memory (``induced.py``); suffixes whose common prefix reaches ``width`` are one
     window class, and all windows of a class but its first are repeats.
 5.  The verdicts go back to their documents, where the removed bytes are cut.
 
