@@ -64,9 +64,20 @@ def fnv(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, for workers stay small when texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes after which an Arrow batch is passed to a worker.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes, for workers stay small when texts are very long.
+
+    Lazy frames read the setting when they run, so it stays; it is the same for
+    all operators, never raises what the session asks for, and no limit of rows changes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def utf8_buffers(texts) -> tuple[np.ndarray, np.ndarray]:

@@ -22,12 +22,12 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,61 +35,171 @@ from . import common
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 BLOCK, MARK, LIMIT = 1 << 19, 256, 16
-#: The split of byte-level vocabularies (fixed by them), with letters, numbers and white space below U+0250 spelt out.
-_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
-LATIN_PIECES = f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Pieces of text whose ids a worker keeps.
-CACHE = 200_000
+#: Pieces of text whose ids a worker process keeps, and bytes of text that are split at a time.
+CACHE, STEP = 500_000, 4 << 20
+#: Kinds of characters that the split of byte-level vocabularies tells apart.
+BLANK, LETTER, NUMBER, OTHER, UNKNOWN, NONE = range(6)
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str):
-    """A function from a list of texts to (ids of all texts, number of ids of each).
+def byte_symbols() -> str:
+    """The character that stands for each byte in byte-level vocabularies (fixed by them)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(rest)) for b in range(256))
 
-    A byte-level vocabulary encodes the pieces of its split pattern one by one,
-    so a piece is passed to the tokenizers library once and its ids are kept.
-    Texts with letters beyond Latin go to the library whole.
+
+class Encoder:
+    """Ids of texts, as the tokenizers library gives them.
+
+    A byte-level vocabulary encodes the pieces of its split pattern one by one.
+    Texts are split with numpy, equal pieces are found by Arrow, the library's
+    model turns each new piece into ids, and a worker process keeps them.  The
+    library's own split says which kind each character is.  Texts that hold an
+    added token (as <|endoftext|>), and all texts of other kinds of tokenizer,
+    go to the library whole.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    split, plain = re.compile(LATIN_PIECES).findall, re.compile("[^\x00-\u024f]").search
-    slots: dict[str, int] = {}
-    flat, ends = [np.zeros(0, np.uint32)], [0]
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal slots, flat, ends
-        if len(slots) > CACHE:
-            slots, flat, ends = {}, [np.zeros(0, np.uint32)], [0]
-        pieces = [[t] if plain(t) else split(t) for t in texts]
-        new = list(set(chain.from_iterable(pieces)).difference(slots))
-        if new:
-            got = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            for p, ids in zip(new, got):
-                slots[p] = len(slots)
-                ends.append(ends[-1] + len(ids))
-            flat = [np.concatenate([*flat, np.array([i for ids in got for i in ids], np.uint32)])]
-        end = np.array(ends, np.int64)
-        counts = np.array([len(ps) for ps in pieces], np.int64)
-        slot = np.fromiter(map(slots.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
-        size = end[slot + 1] - end[slot]
-        total = int(size.sum())
-        at = np.repeat(end[slot] - (np.cumsum(size) - size), size) + np.arange(total)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        return flat[0][at], np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
 
-    return encode
+    def __init__(self, path: str):
+        import json
+
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.by_piece = (
+            (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+            and spec["normalizer"] is None
+            and model["type"] == "BPE"
+            and not (model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"))
+        )
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        if hasattr(self.whole.model, "_resize_cache"):
+            self.whole.model._resize_cache(0)  # every piece is passed to the model once
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots, self.flat, self.ends = {}, array("I"), array("q", [0])
+
+    def kind(self, c: str) -> int:
+        """The kind of a character: what it is not split from."""
+        split = self.whole.pre_tokenizer.pre_tokenize_str
+        return next((k for k, near in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if len(split(near + c)) == 1), BLANK)
+
+    def starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Byte offsets at which the pieces of the texts raw[at[i]:at[i + 1]] begin."""
+        n = len(raw)
+        if n == 0:
+            return np.zeros(0, np.int64)
+        if raw.max() < 128:
+            code, place, first = raw, None, at[:-1]
+        else:
+            code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+            place = np.flatnonzero((raw & 0xC0) != 0x80)
+            first = np.searchsorted(place, at[:-1])
+        kind = self.kinds[code]
+        if (kind == UNKNOWN).any():
+            for c in np.unique(code[kind == UNKNOWN]).tolist():
+                self.kinds[c] = self.kind(chr(c))
+            kind = self.kinds[code]
+        size = len(kind)
+        fresh = np.zeros(size, bool)
+        fresh[first[first < size]] = True
+        before = np.empty_like(kind)
+        before[0], before[1:] = NONE, kind[:-1]
+        before[fresh] = NONE
+        start = kind != before
+        # The last blank of a run goes to what follows it, or stands alone if it is not a space.
+        w = np.flatnonzero(start & (before == BLANK))
+        start[w - 1] = True
+        start[w] = code[w - 1] != 32
+        # 's 'd 'm 't 'll 've 're are pieces of their own.
+        q = np.flatnonzero((code == 39) & start)
+        for length, ends in ((1, ("s", "d", "m", "t")), (2, ("ll", "ve", "re"))):
+            p = q[q + length < size]
+            for k in range(1, length + 1):
+                p = p[~fresh[p + k]]
+            hit = np.zeros(len(p), bool)
+            for e in ends:
+                hit |= np.logical_and.reduce([code[p + k + 1] == ord(c) for k, c in enumerate(e)])
+            p = p[hit]
+            start[p + 1] = False
+            p = p[p + length + 1 < size] + length + 1
+            start[p[kind[p] == LETTER]] = True
+        found = np.flatnonzero(start)
+        return found if place is None else place[found]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Keep the ids of new pieces."""
+        model, slots, flat, ends = self.whole.model, self.slots, self.flat, self.ends
+        symbols, at = b"".join(pieces).decode("latin-1").translate(self.symbols), 0
+        for p in pieces:
+            slots[p] = len(slots)
+            flat.extend([t.id for t in model.tokenize(symbols[at : at + len(p)])])
+            ends.append(len(flat))
+            at += len(p)
+
+    def split_ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts raw[at[i]:at[i + 1]], and the number of ids of each."""
+        if len(self.slots) > CACHE:
+            self.forget()
+        begin = self.starts(raw, at)
+        counts = np.diff(np.searchsorted(begin, at))
+        cuts = np.append(begin, len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
+        own = pieces.dictionary.to_pylist()
+        self.learn([p for p in own if p not in self.slots])
+        slot = np.fromiter(map(self.slots.__getitem__, own), np.int64, len(own))[pieces.indices.to_numpy()]
+        flat, end = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
+        size = end[slot + 1] - end[slot]
+        total = np.cumsum(size)
+        ids = flat[np.repeat(end[slot] - (total - size), size) + np.arange(total[-1] if len(total) else 0)]
+        edges = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(edges)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), and the number of ids of each."""
+        whole = np.full(len(texts), not self.by_piece)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        if whole.any():
+            got = [e.ids for e in self.whole.encode_batch_fast([t or "" for t in texts.filter(pa.array(whole)).to_pylist()], add_special_tokens=False)]
+            texts = pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts)
+        raw, at = common.utf8_buffers(texts)
+        row, out, counts = 0, [], []
+        while row < len(texts):
+            stop = max(row + 1, int(np.searchsorted(at, at[row] + STEP, side="right")) - 1)
+            ids, n = self.split_ids(raw[at[row] : at[stop]], at[row : stop + 1] - at[row])
+            out.append(ids)
+            counts.append(n)
+            row = stop
+        ids, n = (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if whole.any():
+            where, sizes = np.cumsum(n)[whole], [len(g) for g in got]
+            ids = np.insert(ids, np.repeat(where, sizes), np.array([i for g in got for i in g], np.uint32))
+            n[whole] = sizes
+        return ids, n
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder that this worker process keeps for a tokenizer file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian 16-bit integers, or 32-bit ones for a larger vocabulary), end id included."""
+    """doc_id, and low and high: the halves of the ids as little-endian 16-bit integers, end id included (high: null if all are 0)."""
     common.small_batches(docs.sparkSession)
 
     def run(batches):
         work = encoder(path)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids, n = work(texts)
+            ids, n = work(b.column("text"))
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id)
             wide = ids.astype("<u4").view("<u2").reshape(-1, 2)
@@ -274,5 +384,5 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    common.small_batches(spark)
     return stored.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

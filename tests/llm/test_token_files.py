@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -63,11 +64,32 @@ def test_odd_rows_match_the_library(spark, tmp_path):
 
 
 def test_encoder_matches_the_library_on_mixed_text():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    texts = ["  a  b\n\n c\t\td ", "don't we'll I'M 12.5€ ...", "日本語 text Ünï", "naïve x \r\n y", "<|endoftext|> a", "", " ", "\n \n", "".join(map(chr, range(1, 0x250))), "x² ½a\u00a0\u00a0b\x85 \x1c\x1d c"]
-    ids, n = tf.encoder(PATH)(texts)
-    assert ids.tolist() == [i for x in texts for i in t.encode(x, add_special_tokens=False).ids]
+    import random
+
+    t, r = Tokenizer.from_file(PATH), random.Random(3)
+    signs = "aZs'tlvermd1 9!.,\n\t  \r é²½“—漢字ا\u0301😀_-'''ſ\u3000\u200b\x1c\x85\x0b\xa0"
+    texts = ["  a  b\n\n c\t\td ", "don't we'll I'M 12.5€ ...", "日本語 text Ünï", "naïve x \r\n y", "<|endoftext|> a", "b<|endoftext|>", "", " ", "\n \n", "".join(map(chr, range(1, 0x250))), None]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    ids, n = tf.encoder(PATH)(pa.array(texts))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_one_long_text_without_blanks():
+    text = "abcdefghij" * 300_000
+    ids, n = tf.encoder(PATH)(pa.array([text, "a b"]))
+    assert ids.tolist() == [i for x in (text, "a b") for i in Tokenizer.from_file(PATH).encode(x, add_special_tokens=False).ids] and len(n) == 2
+
+
+def test_table_matches_the_library(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tf.write(tf.encode(d, PATH), str(tmp_path / "x"))
+    t, start = Tokenizer.from_file(PATH), 0
+    got = {r.doc_id: r for r in tf.read(spark, str(tmp_path / "x")).collect()}
+    for r in d.orderBy("doc_id").collect():
+        ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
+        assert (got[r.doc_id].start, list(got[r.doc_id].ids)) == (start, ids)
+        start += len(ids)
 
 
 def test_empty_table(spark, tmp_path):
