@@ -28,7 +28,7 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of words; null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def ascii_lower(text: Column) -> Column:

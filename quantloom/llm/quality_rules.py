@@ -18,8 +18,9 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,19 +35,32 @@ def _hash(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
-def with_grams(docs: DataFrame) -> DataFrame:
-    """Adds words, and grams: the buckets of all words and word pairs, lower-cased (A-Z)."""
-    d = docs.withColumn("words", common.words_of(F.col("text"))).withColumn("low", common.words_of(common.ascii_lower(F.col("text"))))
-    one = F.transform("low", lambda w: _hash(w))
-    two = F.transform("low", lambda w, i: F.when(i > 0, _hash(F.get("low", i - 1), w)))
-    return d.withColumn("grams", F.filter(F.concat(one, two), lambda g: g.isNotNull())).drop("low")
+def _let(value: Column, body) -> Column:
+    """body(value), value being worked out once: however often the result is used, nothing is worked out twice inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(words: Column, size: int, of) -> Column:
+    """of(word, place) of every place at which a run of ``size`` words begins."""
+    return F.slice(F.transform(words, of), F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+
+
+def grams(words: Column) -> Column:
+    """The buckets of all words and word pairs, lower-cased."""
+
+    def both(low: Column) -> Column:
+        one = F.transform(low, lambda w: F.pmod(w, F.lit(BUCKETS)).cast("int"))
+        return F.concat(one, _runs(low, 2, lambda w, i: _hash(w, F.get(low, i + 1))))
+
+    return _let(F.transform(words, lambda w: F.xxhash64(F.lower(w))), both)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log-likelihood ratio of each bucket; trusted: doc_ids of the target texts."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("t", F.lit(1))
-    grams = with_grams(common.id_text(docs)).select("doc_id", "grams").join(ids, "doc_id", "left")
-    rows = grams.select(F.explode_outer("grams").alias("g"), "t").filter("g is not null").groupBy("g").agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()  # BUCKETS rows at most
+    # The texts meet the labels before their grams are made: a text is smaller than its grams.
+    marked = common.id_text(docs).join(ids, "doc_id", "left")
+    rows = marked.select(F.explode(_let(common.words_of(F.col("text")), grams)).alias("g"), "t").groupBy("g").agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
     for r in rows:
         raw[r["g"]] += r["raw"]
@@ -57,47 +71,52 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [math.log(t / n) + shift for t, n in zip(target, raw)]
 
 
-def repeat_words(words: str) -> tuple[dict[str, Column], Column]:
-    """Steps (new columns, each used by later ones) and the count of words in 3-word windows found twice or more.
+def repeat_words(words: Column) -> Column:
+    """The count of words in 3-word windows found twice or more.
 
     A window's key holds its hash above and its place below; sorted keys put
     equal windows side by side, and neighbours count if their words are equal.
     """
-    n = F.size(words)
-    span = F.expr(f"shiftleft(1L, length(bin(size({words}))))")
-    key = lambda w, i: F.when(i < n - 2, (lambda h: h - F.pmod(h, F.col("_span")) + i)(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
-    steps = {
-        "_span": span,
-        "_keys": F.array_sort(F.filter(F.transform(words, key), lambda k: k.isNotNull())),
-        "_next": F.expr("slice(_keys, 2, greatest(size(_keys) - 1, 0))"),
-    }
-    place = lambda k: F.pmod(k, F.col("_span")).cast("int")
-    same = lambda a, b: (b - place(b) == a - place(a)) & F.forall(F.array(*[F.lit(j) for j in range(3)]), lambda j: F.get(words, place(a) + j) == F.get(words, place(b) + j))
-    steps["_hits"] = F.array_sort(F.array_distinct(F.flatten(F.filter(F.zip_with("_keys", "_next", lambda a, b: F.when(same(a, b), F.array(place(a), place(b)))), lambda x: x.isNotNull()))))
-    start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum"))
-    total = F.aggregate("_hits", start, lambda s, p: F.struct(p.alias("last"), (s["sum"] + F.least(F.lit(3), p - s["last"])).alias("sum")))["sum"]
-    return steps, total
+
+    def count(bits: Column) -> Column:
+        hashed = lambda k: F.call_function("shiftright", k, bits)
+        place = lambda k: (k - F.call_function("shiftleft", hashed(k), bits)).cast("int")
+        same = lambda a, b: (hashed(a) == hashed(b)) & F.forall(F.array(*[F.lit(j) for j in range(3)]), lambda j: F.get(words, place(a) + j) == F.get(words, place(b) + j))
+        pairs = lambda keys: F.zip_with(keys, F.slice(keys, F.lit(2), F.greatest(F.size(keys) - 1, F.lit(0))), lambda a, b: F.when(same(a, b), F.array(place(a), place(b))))
+        keys = F.sort_array(_runs(words, 3, lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), bits) + i))
+        hits = F.sort_array(F.array_distinct(F.flatten(F.array_compact(_let(keys, pairs)))))
+        start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("sum"))
+        return F.aggregate(hits, start, lambda s, p: F.struct(p.alias("last"), (s["sum"] + F.least(F.lit(3), p - s["last"])).alias("sum")))["sum"]
+
+    return _let(F.length(F.bin(F.size(words))), count)
+
+
+def _literal(spark: SparkSession, values: list[float]) -> Column:
+    """An array of doubles as one literal (F.lit would make an expression for each of them)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    array = gateway.new_array(jvm.double, len(values))
+    jvm.java.nio.ByteBuffer.wrap(struct.pack(f">{len(values)}d", *values)).asDoubleBuffer().get(array)
+    return Column(jvm.org.apache.spark.sql.functions.lit(array))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept of every row."""
-    ratios = ",".join(repr(x) for x in log_ratios(docs, trusted))
-    weights = F.split(F.lit(ratios), ",").cast("array<double>")  # folded to one literal
+    weights = _literal(docs.sparkSession, log_ratios(docs, trusted))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = with_grams(common.id_text(docs)).withColumn("lines", lines)
-    steps, repeats = repeat_words("words")
-    for name, step in steps.items():
-        d = d.withColumn(name, step)
-    d = d.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, common.SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeats.cast("long").alias("n_repeat_words"),
-        F.try_divide(F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get(weights, g)), F.size("grams")).alias("llr"),
-    )
+    score = lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda s, x: s + F.get(weights, x)), F.size(g))
+
+    def counts(words: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+            _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            repeat_words(words).cast("long").alias("n_repeat_words"),
+            _let(grams(words), score).alias("llr"),
+        )
+
+    d = common.id_text(docs).select("doc_id", _let(common.words_of(text), counts).alias("r")).select("doc_id", "r.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
     return d.withColumn("kept", ~F.col("base_failed") & (F.coalesce("llr", F.lit(0.0)) >= threshold))

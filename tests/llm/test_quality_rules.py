@@ -48,13 +48,24 @@ def test_ratios_match_plain_counts(spark):
     import math
 
     got = qr.log_ratios(docs, spark.createDataFrame([(1,)], "doc_id long"))
-    rows = qr.with_grams(docs).select("doc_id", "grams").collect()
+    rows = docs.select("doc_id", qr.grams(qr.common.words_of(docs["text"])).alias("grams")).collect()
     raw = Counter(g for r in rows for g in r.grams)
     tgt = Counter(g for r in rows if r.doc_id == 1 for g in r.grams)
     n, m = sum(raw.values()) + qr.BUCKETS, sum(tgt.values()) + qr.BUCKETS
     assert all(abs(got[g] - math.log((tgt[g] + 1) / m / ((raw[g] + 1) / n))) < 1e-9 for g in range(qr.BUCKETS))
 
 
+def test_llr_and_kept_match_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    trusted = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1")
+    weights = qr.log_ratios(docs, trusted)
+    rows = docs.select("doc_id", qr.grams(qr.common.words_of(docs["text"])).alias("g")).collect()
+    want = {r.doc_id: sum(weights[g] for g in r.g) / len(r.g) if r.g else None for r in rows}
+    for r in qr.quality_rules(docs, trusted).collect():
+        assert r.llr is None if want[r.doc_id] is None else abs(r.llr - want[r.doc_id]) < 1e-9
+        assert r.kept == (not r.base_failed and (r.llr or 0.0) >= qr.THRESHOLD)
+
+
 def test_empty(spark):
     none = helpers.none(spark)
     assert qr.quality_rules(none, none.select("doc_id")).collect() == []
