@@ -58,8 +58,8 @@ def grams(words: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """Log-likelihood ratio of each bucket; trusted: doc_ids of the target texts."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("t", F.lit(1))
-    # The texts meet the labels before their grams are made: a text is smaller than its grams.
-    marked = common.id_text(docs).join(ids, "doc_id", "left")
+    # The texts meet the labels before their grams are made: a text is smaller than its grams.  One plan at every size.
+    marked = common.id_text(docs).join(ids.hint("merge"), "doc_id", "left")
     rows = marked.select(F.explode(_let(common.words_of(F.col("text")), grams)).alias("g"), "t").groupBy("g").agg(F.count("*").alias("raw"), F.count("t").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [1.0] * BUCKETS, [1.0] * BUCKETS
     for r in rows:
