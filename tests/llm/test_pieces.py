@@ -96,3 +96,26 @@ def test_runs_of_blanks_use_their_pieces():
             best[end] = dict(sorted(new.items(), key=lambda x: -x[1])[:4])
         assert [s for s, _ in got] == sorted(best[-1].values(), reverse=True)
     assert len(encode(["a" + " " * 40_000 + "b"], 4)[0]) == 4
+
+
+def test_words_side_by_side_match_one_by_one():
+    r, lat = random.Random(5), pieces.Lattice(*pieces.load(PATH))
+    words = [" " * r.randrange(0, 20) + "".join(r.choice("abdeinstößé日▁\n") for _ in range(r.randrange(1, 20))) for _ in range(400)]
+    words = list({w.encode() for w in [*words, " ", "  ", " the", "x" * 300]})
+    lat.learn(words)
+    for w in words:
+        best, ids, second = lat.forward(w)
+        k = lat.slots[w]
+        assert (lat.ids(k), lat.best[k]) == (ids, best[-1])
+        assert lat.gap[k] == best[-1] - second
+
+
+def test_table_matches_one_lattice_per_text(spark):
+    lat = pieces.Lattice(*pieces.load(PATH))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in pieces.encode(common.id_text(docs), PATH).collect()}
+    for r in docs.collect():
+        if r.text:
+            best, ids, _ = lat.forward(b" " + r.text.encode())
+            assert list(got[r.doc_id].ids) == list(ids) and abs(got[r.doc_id].score - best[-1]) <= 1e-9 * abs(best[-1])
+            assert got[r.doc_id].text == r.text and got[r.doc_id].round_trip
