@@ -8,7 +8,7 @@ that the operators define.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import common, decontaminate, near_duplicates, passage_quality, pieces, suffix_dedup
@@ -28,34 +28,36 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_duplicates.keep_one(docs)
 
 
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """Each row as one value (its columns may have any names), and the key by which results find it."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.struct(docs["doc_id"].cast("long").alias("doc_id"), key.alias("th")).alias("_key"))
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts."""
-    columns = docs.columns
+    """Cuts repeated passages out of the texts; n_chars, where documents have it, follows."""
     kept = suffix_dedup.remove_repeats(docs, with_text=True).filter("n_removed > 0")
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "kept_text").dropDuplicates(["_d", "_t"])
-    d = docs.withColumn("_h", suffix_dedup.text_key(F.col("text").cast("string")))
-    d = d.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
-    new = {"text": text}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
-    return d.withColumns(new).select(*columns)
+    kept = kept.select(F.struct("doc_id", "th").alias("_cut"), "kept_text").dropDuplicates(["_cut"])
+    d = _keyed(docs, suffix_dedup.text_key(docs["text"].cast("string"))).join(kept, F.col("_key").eqNullSafe(F.col("_cut")), "left")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    cut = F.col("kept_text").isNotNull()
+    return d.select(*[(F.when(cut, new[c]).otherwise(F.col("_row")[c]) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t"))
-    return docs.join(found, same, "left_anti")
+    found = found.select(F.struct("doc_id", "th").alias("_hit")).distinct()
+    d = _keyed(docs, F.xxhash64(docs["text"].cast("string")))
+    return d.join(found, F.col("_key").eqNullSafe(F.col("_hit")), "left_anti").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation, the scores of the N best, and the text decoded from the ids."""
+    """The columns of documents, text as decoded from the ids (null stays null), and the ids of the best segmentation and the
+    scores of the N best; a column of documents that has a result's name gives way to it."""
     import public_tokenizers
 
-    d = common.id_text(docs)
-    return pieces.encode(d, public_tokenizers.path(pieces.MODEL)).select("doc_id", "text", "ids", "n_pieces", "score", "nbest_scores")
+    d = docs.drop(*pieces.RESULTS).withColumn("text", F.col("text").cast("string"))
+    return pieces.encode(d, public_tokenizers.path(pieces.MODEL)).drop("ids_crc32", "nbest_crc32s", "round_trip")
 
 
 STAGES = [

@@ -17,7 +17,7 @@ segmentation costs least; A* runs over the lattices of those.
 
 Defined results: null text is empty and has no pieces; white space other than
 the blank, a literal U+2581 and characters without a piece become byte pieces;
-decoding gives back every text exactly (but for a null one: an empty text); equal scores prefer the longer last
+decoding gives back every text exactly (in the operator's text column null stays null); equal scores prefer the longer last
 piece; repeated rows each return their result; an empty table gives an empty
 result.  Texts of any length are encoded whole.
 """
@@ -40,6 +40,7 @@ MARK = "▁"
 CACHE, STEP = 400_000, 4 << 20
 #: Longer words (in bytes) are segmented one by one, others in groups of this many.
 LONG, GROUP = 64, 1 << 14
+RESULTS = ["n_pieces", "ids_crc32", "score", "nbest_scores", "nbest_crc32s", "round_trip", "ids"]
 _ENCODERS: dict[str, "Lattice"] = {}
 
 
@@ -383,9 +384,9 @@ def encode(docs: DataFrame, path: str, n: int = BEST, with_ids: bool = True) ->
                 pa.array([[crc(replaced(ids, at, c)) for _, c in p] for ids, at, p in got], pa.list_(pa.int64())),
                 pa.array([common.utf8(t) == a for t, a in zip(texts.to_pylist(), again)], pa.bool_()),
             ]
-            names = ["n_pieces", "ids_crc32", "score", "nbest_scores", "nbest_crc32s", "round_trip"]
+            names = RESULTS[:6]
             if with_ids:
-                cols += [pa.array([x.astype(np.int32) for x in first], pa.list_(pa.int32())), pa.array([a.decode("utf-8", "replace") for a in again], pa.string())]
+                cols += [pa.array([x.astype(np.int32) for x in first], pa.list_(pa.int32())), pa.array([None if t is None else a.decode("utf-8", "replace") for t, a in zip(texts.to_pylist(), again)], pa.string())]
                 names += ["ids", "text"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *names])
 

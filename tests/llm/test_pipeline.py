@@ -62,12 +62,11 @@ def test_near_copies_are_tested_before_links_are_thinned(spark):
                 w[k] = f"new{r.randrange(10**6)}"
             texts.append(" ".join(w))
     sets = [set(nd.shingle_set(t).tolist()) for t in texts]
-    fps = [nd.marks(t)[0] for t in texts]
     root = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if root[a] != root[b] and (fps[a] ^ fps[b]).bit_count() <= nd.LIMIT and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            if root[a] != root[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
                 root = [root[b] if x == root[a] else x for x in root]
     want = [root.index(x) for x in sorted(set(root), key=root.index)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -87,9 +86,38 @@ def test_repeated_lines_neither_join_nor_part_texts(spark):
 
 def test_sets_of_equal_fingerprint_are_candidates_and_tested(spark):
     texts = {1: helpers.text(80, 50), 2: helpers.text(81, 50), 3: helpers.text(80, 50) + " end", 4: helpers.text(82, 50)}
-    nodes = spark.createDataFrame([(5, 1), (5, 2), (5, 3), (-1, 4)], "fp long, node long")
-    chosen = nd.plan(nodes, nd.LIMIT)
-    found = nd.members(nodes, nd.LIMIT, chosen)
+    nodes = spark.createDataFrame([(i, *[fp] * nd.WORDS) for i, fp in ((1, 5), (2, 5), (3, 5), (4, -6))], ["node", *nd.FP])
+    chosen = nd.plan(nodes)
+    found = nd.members(nodes, chosen, nd.furthest(0.8))
     assert {x.node for x in found.collect()} == {1, 2, 3}
-    links = nd.tested_links(found, spark.createDataFrame(list(texts.items()), "node long, text string"), 5, nd.LIMIT, 0.8, chosen)
+    links = nd.tested_links(found, spark.createDataFrame(list(texts.items()), "node long, text string"), chosen, nd.furthest(0.8))
     assert {tuple(sorted((x.a, x.b))) for x in links.collect()} == {(1, 3)}
+
+
+def test_thresholds_reach_the_recall(spark):
+    """Planted pairs of a similarity just over 0.8 share a bucket as often as the plan says."""
+    import random
+
+    import numpy as np
+
+    r, sets = random.Random(3), []
+    for _ in range(300):
+        x = [r.getrandbits(64) for _ in range(220)]
+        sets += [x[:200], x[20:]]  # 180 of 220: 0.818
+    fp = np.array([nd.fingerprint(np.array(x, np.uint64)) for x in sets])
+    nodes = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fp)], ["node", *nd.FP])
+    chosen = nd.plan(nodes)
+    apart = [[int(np.bitwise_count((a[w] ^ b[w]) & np.uint64(sum(1 << j for j in bits)))) <= t for w, bits, t in chosen] for a, b in zip(fp[::2], fp[1::2])]
+    assert sum(map(any, apart)) >= 0.97 * len(apart)
+    got = {x.node for x in nd.members(nodes, chosen, nd.furthest(0.8)).collect()}
+    assert sum(2 * i in got and 2 * i + 1 in got for i in range(300)) >= 0.97 * 300
+
+
+def test_odd_rows_and_clashing_names(spark):
+    docs = helpers.odd(spark)
+    for name, stage in cp.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert 0 < out.count() <= docs.count(), name
+    out = cp.STAGES[0][1](spark, docs, SF)
+    assert out.columns == docs.columns
