@@ -40,6 +40,7 @@ SHINGLE, SIMILARITY, RECALL, WORDS = 5, 0.8, 0.98, 8
 FP = [f"f{w}" for w in range(WORDS)]
 #: A partition in use: the 64-bit word it is cut from, its bits and its threshold.
 Part = tuple[int, list[int], int]
+NOTHING = np.zeros(0, np.int64)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -51,13 +52,14 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 def fingerprint(x: np.ndarray) -> np.ndarray:
     """WORDS 64-bit words: each bit is set if more than half of the set's hashes have it."""
     total = np.zeros(64 * WORDS, np.int64)
-    for a in range(0, len(x), 1 << 10):
-        h = x[a : a + (1 << 10), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(x), 2040):
+        h = x[a : a + 2040, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
         h ^= h >> np.uint64(31)
         bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.uint16)
+        # Sums of up to 255 rows fit in a byte.
+        total += np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * total > len(x), bitorder="little").view(np.uint64)
 
 
@@ -197,7 +199,7 @@ def candidates(key: tuple, k: np.ndarray, probe: np.ndarray, fp: np.ndarray, cho
     own, low = ~probe, k == x
     left = np.flatnonzero(low)
     right = left if x == y else np.flatnonzero(~low)
-    step, found = max(1, (1 << 18) // max(1, len(right))), [np.zeros((3, 0), np.int64)]
+    step, found = max(1, (1 << 18) // max(1, len(right))), []
     for s in range(0, len(left), step):
         part = left[s : s + step]
         apart = np.zeros((len(part), len(right)), np.uint16)
@@ -207,12 +209,16 @@ def candidates(key: tuple, k: np.ndarray, probe: np.ndarray, fp: np.ndarray, cho
         if x == y:
             ok &= part[:, None] < right[None, :]
         a, b = np.nonzero(ok)
+        if not len(a):
+            continue
         differ = fp[part[a]] ^ fp[right[b]]
         new = np.ones(len(a), bool)
         for w, bits, t in chosen[:i]:
             new &= np.bitwise_count(differ[:, w] & np.uint64(sum(1 << j for j in bits))) > t
         a, b = a[new], b[new]
         found.append(np.array([part[a], right[b], apart[a, b]], np.int64))
+    if not found:
+        return NOTHING, NOTHING
     a, b, apart = np.concatenate(found, axis=1)
     order = np.argsort(apart, kind="stable")
     return a[order], b[order]
@@ -266,8 +272,9 @@ def members(nodes: DataFrame, chosen: list[Part], limit: int) -> DataFrame:
 
     def run(batches):
         for key, (k, probe, node, *fp) in blocks(batches):
-            at = np.unique(np.concatenate(candidates(key, k, probe, _matrix(fp), chosen, limit)))
-            if len(at):
+            a, b = candidates(key, k, probe, _matrix(fp), chosen, limit)
+            if len(a):
+                at = np.unique(np.concatenate([a, b]))
                 cols = [pa.array([v] * len(at), kind) for v, kind in zip(key, (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c[at]) for c in (k, probe, node, *fp))], names=[*BLOCK_KEY, "k", "probe", "node", *FP])
 
