@@ -56,6 +56,10 @@ def forward_fill(x: Column) -> Column:
     return F.last(x, ignorenulls=True).over(to_date())
 
 
+def backward_fill(x: Column) -> Column:
+    return F.first(x, ignorenulls=True).over(by_ticker().rowsBetween(0, Window.unboundedFollowing))
+
+
 def rank_average(x: Column, *by: str) -> Column:
     """Average rank of x within the groups, nulls last and not ranked."""
     return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(x.asc_nulls_last())) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import book_queries, factor_queries, panel_queries
+from .plans import book_queries, factor_queries, panel_queries, research_queries
 
-_MODULES = [factor_queries, panel_queries, book_queries]
+_MODULES = [factor_queries, panel_queries, book_queries, research_queries]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 

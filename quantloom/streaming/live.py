@@ -83,6 +83,30 @@ def gate(orders: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
     return orders.groupBy("account").applyInPandasWithState(stateful, schema, "day string, trades long, notional double", "append", "NoTimeout")
 
 
+def positions(fills: DataFrame) -> DataFrame:
+    """symbol, position and the average price of what was bought; fills: symbol, shares (negative: sold), price."""
+    bought = F.when(F.col("shares") > 0, F.col("shares"))
+    return fills.groupBy("symbol").agg(F.sum("shares").alias("position"), F.try_divide(F.sum(bought * F.col("price")), F.sum(bought)).alias("average_cost"))
+
+
+def exposure(held: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row: net and gross value of the positions."""
+    value = F.col("position") * F.col("price")
+    return held.join(prices, "symbol").agg(F.sum(value).alias("net"), F.sum(F.abs(value)).alias("gross"))
+
+
+def orders(trades: DataFrame, kind: str = "MKT", bps: float = 10.0) -> DataFrame:
+    """Orders for trades (shares, price): side, quantity, kind, and for LMT a limit bps beyond the price, down to a cent."""
+    buy = F.col("shares") > 0
+    limit = F.floor(F.col("price") * (1 + F.when(buy, bps).otherwise(-bps) / 1e4) * 100) / 100
+    return trades.withColumns({"side": F.when(buy, "buy").otherwise("sell"), "quantity": F.abs("shares").cast("long"), "kind": F.lit(kind), "limit_price": limit if kind == "LMT" else F.lit(None).cast("double")})
+
+
+def append_fills(fills: DataFrame, path: str) -> None:
+    """Fills at the end of the log below path."""
+    fills.write.mode("append").parquet(path)
+
+
 def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Everything that is there now, as a table of the memory sink."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
