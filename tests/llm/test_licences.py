@@ -36,7 +36,7 @@ def check(spark, docs):
 
 def test_odd_rows_and_families(spark):
     lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "THE DRIVER showed a license to the public."]
-    rows = helpers.odd_rows() + [(100 + i, "Anther thea.\n" + x + "\nonwhat", None, None, None, None, None, None) for i, x in enumerate(lines)]
+    rows = helpers.odd_rows() + [(100 + i, "Anther thea.\n" + x + "\nonwhat", *[None] * 19) for i, x in enumerate(lines)]
     got = check(spark, spark.createDataFrame(rows, helpers.SCHEMA))
     assert [list(got[100 + i].families) for i in range(5)] == [["gpl"], ["cc-by-nc"], ["mit"], ["apache"], []]
 
