@@ -39,17 +39,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read again from the shared checkpoint folder.
-
-    Uses spark.checkpoint.dir where the session names one; sets a folder of its
-    own only where it does not (tests, a laptop).
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; without one, a temporary folder in local mode and an error on a cluster."""
     import tempfile
 
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return top.rstrip("/") or tempfile.gettempdir()
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and read again from the shared checkpoint folder (``shared_folder``)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"quantloom-{name}-"))
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/quantloom-{name}")
     return df.checkpoint(eager=True)
 
 
@@ -97,11 +101,9 @@ def utf8_buffers(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster shares."""
-    import tempfile
     import uuid
 
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
-    return f"{top.rstrip('/')}/quantloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/quantloom-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
