@@ -322,7 +322,10 @@ def _(s, d):
 
 
 def _stream(s: SparkSession, d: str, build, name: str, mode: str) -> DataFrame:
-    path = s.conf.get("spark.checkpoint.dir", "") or tempfile.gettempdir()
+    path = s.conf.get("spark.checkpoint.dir", "")
+    if not path and not s.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path.rstrip("/") or tempfile.gettempdir()
     name = f"{name}_{abs(hash((d, name)))}"
     s.catalog.dropTempView(name)
     import uuid
