@@ -70,7 +70,8 @@ def gate(orders: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
 
     schema = "account string, event_id long, accepted boolean, reason string"
     if not orders.isStreaming:
-        return orders.groupBy("account").applyInPandas(lambda pdf: step(pdf, ("", 0, 0.0))[0], schema)
+        # The counters start again each day, so a day is a group of its own.
+        return orders.groupBy("account", F.to_date("ts")).applyInPandas(lambda pdf: step(pdf, ("", 0, 0.0))[0], schema)
 
     def stateful(key, chunks, state):
         now = state.get if state.exists else ("", 0, 0.0)
