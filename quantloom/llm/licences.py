@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier confirmed by templates.
 
-A paragraph is a line.  Its sparse features are the word pairs and triples of
+A paragraph is a line, or neighbouring lines that hold a wrapped notice together.
+Its sparse features are the word pairs and triples of
 the licence templates (those with a word that is no stop word).  A multinomial
 logistic regression with an L1 penalty, trained here on the templates, their
 parts and unrelated sentences, gives a probability to each licence family and
@@ -13,6 +14,11 @@ The scan is DataFrame functions only.  A line without any of the anchor words
 (every feature has one) has no feature and is unknown; only other lines are
 exploded, joined with the features (a few hundred rows, broadcast) and summed.
 
+Lines are classified first.  What lines of no family hold is then classified by
+windows of 2 * SPAN lines, each starting SPAN lines after the one before, with the
+n-grams that cross from a line into the next: a notice wrapped over up to SPAN + 1
+lines stands whole in one.  Neither windows nor n-grams cross a blank line.
+
 Defined results: null text has no paragraphs; an empty table gives an empty
 result; equal probabilities take the family that sorts first; repeated rows
 each return their result; rows are told apart by doc_id and text.  Texts of any
@@ -24,7 +30,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,6 +38,10 @@ from . import common
 CERTAIN, CONFIRM = 0.5, 0.6
 EPOCHS, RATE, L1 = 400, 0.5, 2e-4
 UNKNOWN = "unknown"
+#: Half of the lines of a window, for wrapped notices.
+SPAN = 8
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
+LINE, WINDOW = ["doc_id", "th", "block", "line"], ["doc_id", "th", "block", "window"]
 
 #: Short notices by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -134,47 +144,85 @@ def train() -> dict:
     return {"features": features, "families": families, "w": w, "b": b, "temperature": float(temperature)}
 
 
-def tables(spark: SparkSession, model: dict) -> tuple[DataFrame, DataFrame]:
-    """(gram, weights, templates that have it) and (template, its family and number of n-grams): a few hundred rows."""
-    all_templates = [(f, t) for f in model["families"][:-1] for t in TEMPLATES[f]]
-    sets = [grams(t) for _, t in all_templates]
-    rows = [(g, [float(v) for v in model["w"][i]], [k for k, s in enumerate(sets) if g in s]) for i, g in enumerate(model["features"])]
-    features = spark.createDataFrame(rows, "gram string, w array<double>, templates array<int>")
-    kinds = spark.createDataFrame([(k, f, len(s)) for k, ((f, _), s) in enumerate(zip(all_templates, sets))], "template int, family string, size int")
-    return features, kinds
+def tables(spark: SparkSession, model: dict) -> DataFrame:
+    """(f, gram, weights by family, 1.0 for each template that has it): a few hundred rows."""
+    sets = [grams(t) for f in model["families"][:-1] for t in TEMPLATES[f]]
+    rows = [(i, g, [float(v) for v in model["w"][i]], [float(g in s) for s in sets]) for i, g in enumerate(model["features"])]
+    return spark.createDataFrame(rows, "f int, gram string, w array<double>, t array<double>")
 
 
-def paragraphs(docs: DataFrame, model: dict, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
-    """doc_id, th, line (its number), family, probability and match of every line that has a feature; family may be unknown."""
-    spark = docs.sparkSession
-    features, kinds = tables(spark, model)
-    families = model["families"]
+def _words(text: Column) -> Column:
+    return F.filter(F.split(common.ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+
+
+def _grams(words: str) -> Column:
+    pair = F.transform(words, lambda w, i: F.when(i > 0, F.concat_ws(" ", F.get(words, i - 1), w)))
+    triple = F.transform(words, lambda w, i: F.when(i > 1, F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)))
+    return F.array_distinct(F.array_compact(F.concat(pair, triple)))
+
+
+def _found(docs: DataFrame, model: dict, features: DataFrame) -> DataFrame:
+    """LINE, crosses and f (a feature) of the n-grams of lines with an anchor, and of those that cross into a neighbouring line."""
     gate = r"(?i)(?<![0-9a-z])(?:" + "|".join(anchors(model["features"])) + r")(?![0-9a-z])"
     d = common.id_text(docs).filter(F.col("text").rlike(gate)).withColumn("th", F.xxhash64("text"))
-    lines = d.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line", "body")).filter(F.col("body").rlike(gate))
-    split = F.filter(F.split(common.ascii_lower(F.col("body")), NOT_WORD), lambda w: w != "")
-    lines = lines.select("doc_id", "th", "line", split.alias("words"))
-    pair = F.transform("words", lambda w, i: F.when(i > 0, F.concat_ws(" ", F.get("words", i - 1), w)))
-    triple = F.transform("words", lambda w, i: F.when(i > 1, F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1), w)))
-    found = lines.select("doc_id", "th", "line", F.explode_outer(F.array_distinct(F.concat(pair, triple))).alias("gram")).filter("gram is not null")
-    found = found.join(F.broadcast(features), "gram")
-    sums = [F.sum(F.get("w", i)).alias(f"z{i}") for i in range(len(families))]
-    key = ["doc_id", "th", "line"]
-    per = found.groupBy(*key).agg(*sums)
+    blocks = d.select("doc_id", "th", F.posexplode(F.split("text", BLANK)).alias("block", "body"))
+    blocks = blocks.select("doc_id", "th", "block", F.split("body", "\n").alias("ls"))
+    near = F.transform("ls", lambda x, i: F.struct(x.alias("body"), F.get("ls", i - 1).alias("before"), F.get("ls", i + 1).alias("after")))
+    lines = blocks.select("doc_id", "th", "block", F.posexplode(near).alias("line", "x")).filter(F.col("x.body").rlike(gate))
+    lines = lines.select(*LINE, _words(F.col("x.body")).alias("words"), _words(F.col("x.before")).alias("before"), _words(F.col("x.after")).alias("after"))
+    last = F.slice("before", F.greatest(F.size("before") - 1, F.lit(1)), 2)
+    lines = lines.select(*LINE, "words", F.concat(last, "words", F.slice("after", 1, 2)).alias("wide"))
+    lines = lines.select(*LINE, _grams("words").alias("own"), _grams("wide").alias("wide"))
+    every = F.concat(
+        F.transform("own", lambda g: F.struct(g.alias("gram"), F.lit(False).alias("crosses"))),
+        F.transform(F.array_except("wide", "own"), lambda g: F.struct(g.alias("gram"), F.lit(True).alias("crosses"))),
+    )
+    rows = lines.select(*LINE, F.explode(every).alias("x")).select(*LINE, "x.gram", "x.crosses")
+    return rows.join(F.broadcast(features.select("gram", "f")), "gram").select(*LINE, "crosses", "f")
+
+
+def classify(rows: DataFrame, key: list[str], model: dict, features: DataFrame, certain: float, confirm: float) -> DataFrame:
+    """key, family, probability and match of the distinct features f of each key."""
+    families = model["families"]
+    owner = [k for k, f in enumerate(families[:-1]) for _ in TEMPLATES[f]]
+    size = [len(grams(t)) for f in families[:-1] for t in TEMPLATES[f]]
+    rows = rows.join(F.broadcast(features.select("f", "w", "t")), "f")
+    sums = [F.sum(F.get("w", i)).alias(f"z{i}") for i in range(len(families))] + [F.sum(F.get("t", j)).alias(f"t{j}") for j in range(len(size))]
+    per = rows.groupBy(*key).agg(*sums)
     z = F.array(*[(F.col(f"z{i}") + float(model["b"][i])) / model["temperature"] for i in range(len(families))])
-    per = per.select(*key, z.alias("z")).withColumn("top", F.array_max("z"))
+    best = [F.array_max(F.array(*[F.col(f"t{j}") / size[j] for j in range(len(size)) if owner[j] == k])) for k in range(len(families) - 1)]
+    per = per.select(*key, z.alias("z"), F.array(*best, F.lit(0.0)).alias("best")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
-    per = per.select(*key, (F.lit(1.0) / total).alias("probability"), F.get(F.array(*map(F.lit, families)), (F.array_position("z", F.col("top")) - 1).cast("int")).alias("family"))
-    hits = found.select(*key, F.explode_outer("templates").alias("template")).groupBy(*key, "template").agg(F.count("*").alias("n"))
-    hits = hits.join(F.broadcast(kinds), "template").groupBy(*key, "family").agg(F.max(F.col("n") / F.col("size")).alias("match"))
-    same = [per[k].eqNullSafe(hits[k]) for k in key] + [per["family"] == hits["family"]]
-    out = per.join(hits, same, "left").select(*[per[k] for k in key], per["family"], "probability", F.coalesce("match", F.lit(0.0)).alias("match"))
+    per = per.withColumn("k", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    per = per.select(*key, F.get(F.array(*map(F.lit, families)), F.col("k")).alias("family"), (F.lit(1.0) / total).alias("probability"), F.get("best", F.col("k")).alias("match"))
     sure = (F.col("probability") >= certain) & (F.col("match") >= confirm)
-    return out.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN))
+    return per.withColumn("family", F.when(sure, F.col("family")).otherwise(UNKNOWN))
+
+
+def paragraphs(docs: DataFrame, model: dict, certain: float = CERTAIN, confirm: float = CONFIRM) -> DataFrame:
+    """doc_id, th, block, line, wrapped, family, probability and match of paragraphs.
+
+    Of every line that has a feature (wrapped false; family may be unknown), and of every notice that only neighbouring
+    lines hold together (wrapped true; the line is the first of its window).
+    """
+    features = tables(docs.sparkSession, model)
+    found = common.stored(_found(docs, model, features), "licence-grams")
+    single = classify(found.filter("not crosses"), LINE, model, features, certain, confirm)
+    known = single.filter(F.col("family") != UNKNOWN).select(F.struct(*LINE).alias("_known"))
+    rest = found.withColumn("_line", F.struct(*LINE)).join(known, F.col("_line").eqNullSafe(F.col("_known")), "left_anti")
+    at = F.floor(F.col("line") / SPAN).cast("int")
+    rest = rest.select(*WINDOW[:-1], F.explode(F.array(at - 1, at)).alias("window"), "f").filter("window >= 0").distinct()
+    joined = classify(rest, WINDOW, model, features, certain, confirm).filter(F.col("family") != UNKNOWN)
+    # Windows overlap: one notice may stand in two that follow each other.
+    before = F.lag("window").over(Window.partitionBy(*WINDOW[:-1], "family").orderBy("window"))
+    joined = joined.withColumn("before", before).filter("before is null or before < window - 1")
+    out = ["family", "probability", "match"]
+    single = single.select(*LINE, F.lit(False).alias("wrapped"), *out)
+    return single.unionByName(joined.select(*WINDOW[:-1], (F.col("window") * SPAN).alias("line"), F.lit(True).alias("wrapped"), *out))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_paragraphs (lines), n_licences (lines with a family), families (sorted), probability (the highest) of every row."""
+    """doc_id, n_paragraphs (lines), n_licences (lines and wrapped notices with a family), families (sorted), probability (the highest) of every row."""
     found = paragraphs(docs, train()).filter(F.col("family") != UNKNOWN)
     per = found.groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("families"), F.max("probability").alias("p"))
     per = per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n", "families", "p")
