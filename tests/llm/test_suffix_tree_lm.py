@@ -3,9 +3,6 @@ import sys
 import zlib
 from collections import Counter
 
-import numpy as np
-import pytest
-
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 import helpers
 
@@ -50,19 +47,67 @@ def test_table_and_held_out_gain(spark):
     assert all(r.score < 0 for r in got)
 
 
-def test_probabilities_sum_to_one_and_longest_suffix_is_used():
-    text = np.frombuffer(b"the cat and the dog and the cow " * 50 + b"\n", np.uint8)
-    ctx = lm.contexts(text, np.array([len(text)]))
-    rows = Counter()
-    for k, s in zip(ctx.tolist(), text.tolist()):
-        for d in range(lm.DEPTH + 1):
-            rows[d, k & ((1 << 8 * d) - 1), s] += 1
-    d, c, s = (np.array(x) for x in zip(*rows))
-    tree = lm.grow(d, c.astype(np.uint64), s, np.array(list(rows.values()), float))
-    full = 10.0 ** tree.logp[:, tree.column[np.arange(256)]].astype(float)
-    assert np.allclose(full.sum(axis=1), 1, atol=1e-4)
-    p = 10.0 ** tree.log10(text, np.array([len(text)]))
-    assert p[400:440].mean() > 0.7
+def test_joined_tree_gives_the_same(spark, monkeypatch):
+    docs = helpers.odd(spark)
+    monkeypatch.setattr(lm, "LEAST", 5)
+    want = compare(spark, docs)
+    monkeypatch.setattr(lm, "TREE_ROWS", 0)
+    got = compare(spark, docs)
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert a[:5] == b[:5] and abs(a.score - b.score) < 1e-4 * max(1, abs(b.score)), (a, b)
+
+
+def plain_tree(texts, least):
+    """(context bytes, newest first) -> symbol probabilities of the kept contexts, with plain loops."""
+    n = {}
+    for t in texts:
+        s = b" ".join(toks(t)[:-1])
+        s = s + b" \n" if s else b"\n"
+        past = bytes([10]) + bytes(lm.DEPTH)
+        for x in s:
+            for d in range(lm.DEPTH + 1):
+                n.setdefault(past[:d], Counter())[x] += 1
+            past = (bytes([x]) + past)[: lm.DEPTH]
+    prob, kept = {}, set()
+    for c in sorted(n, key=len):
+        t = sum(n[c].values())
+        if t < least:
+            continue
+        up = prob[c[:-1]] if c else [1 / 256] * 256
+        prob[c] = [(n[c][x] + lm.PULL * up[x]) / (t + lm.PULL) for x in range(256)]
+        if len(c) < 2 or sum(k * math.log(k / t / up[x]) for x, k in n[c].items()) >= lm.DIVERGENCE:
+            kept |= {c[:d] for d in range(len(c) + 1)}
+    return {c: prob[c] for c in kept}
+
+
+def test_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 6)
+    docs = helpers.odd(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    train = [r.text for r in docs.collect() if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2]
+    tree, c = plain_tree(train, 6), Counter(w for t in train for w in toks(t))
+    assert {len(x) for x in tree} == set(range(lm.DEPTH + 1))
+    total, want = sum(c.values()) + len(c) + 1, {}
+    for d, t in rows:
+        past, score = bytes([10]) + bytes(lm.DEPTH), 0.0
+        for w in toks(t):
+            spell = 1.0
+            for x in w if w == b"\n" else w + b" ":
+                k = max((past[:i] for i in range(lm.DEPTH + 1) if past[:i] in tree), key=len)
+                spell *= tree[k][x]
+                past = (bytes([x]) + past)[: lm.DEPTH]
+            score += math.log10(lm.SHARE * (c[w] + 1) / total + (1 - lm.SHARE) * spell)
+        want[d] = score
+    for r in lm.score(docs).collect():
+        if r.doc_id is not None:
+            assert abs(r.score - want[r.doc_id]) < 1e-3 * max(1, abs(want[r.doc_id])), r
+
+
+def test_more_text_grows_the_tree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sizes = [lm.learn_tree(lm.count(x)[0]).filter("s < 0").count() for x in (docs.filter("doc_id % 4 = 0"), docs)]
+    assert sizes[1] > 1.5 * sizes[0], sizes
 
 
 def test_empty(spark):
