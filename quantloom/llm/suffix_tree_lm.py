@@ -209,8 +209,9 @@ def _spread(rows: list) -> dict:
     return dict(zip(("d", "ctx", "s", "v"), (np.concatenate(x) for x in zip(*rows))))
 
 
-def _arrays(rows) -> tuple:
-    return tuple(rows[c].to_numpy(np.int64) for c in ("d", "ctx", "s")) + (rows[rows.columns[-1]].to_numpy(float),)
+def _arrays(rows, last: str = "v") -> tuple:
+    """Columns d, ctx, s and another one, of a pandas frame or an Arrow table."""
+    return tuple(np.asarray(rows[c]).astype(np.int64) for c in ("d", "ctx", "s")) + (np.asarray(rows[last]).astype(float),)
 
 
 def part(ctx, d):
@@ -273,10 +274,10 @@ def learn_tree(grams: DataFrame) -> DataFrame:
     rows = rows.groupBy("d", "ctx").agg(F.collect_list(F.struct("s", "n")).alias("x"), F.sum("n").alias("t"))  # 256 symbols at most
     rows = rows.filter(F.col("t") >= LEAST).select("d", "ctx", F.inline("x"))
     rows = common.stored(rows, "contexts")
-    after, low = trunk(*_arrays(rows.filter("d < 2").select("d", "ctx", "s", "n").orderBy("d", "ctx", "s").toPandas()))  # 257 x 256 rows at most
+    after, low = trunk(*_arrays(rows.filter("d < 2").select("d", "ctx", "s", "n").orderBy("d", "ctx", "s").toArrow(), "n"))  # 257 x 256 rows at most
     after = spark.sparkContext.broadcast(after)
     high = rows.filter("d >= 2").withColumn("part", part("ctx", "d"))
-    high = high.groupBy("part").applyInPandas(lambda key, x: pd.DataFrame(_spread(branch(after.value, *_arrays(x[["d", "ctx", "s", "n"]])))).assign(part=key[0]), TREE)
+    high = high.groupBy("part").applyInPandas(lambda key, x: pd.DataFrame(_spread(branch(after.value, *_arrays(x, "n")))).assign(part=key[0]), TREE)
     low = spark.createDataFrame(pd.DataFrame(_spread(low)).assign(part=-1), TREE)
     return common.stored(high.unionByName(low), "tree")
 
@@ -325,11 +326,11 @@ def spelled(docs: DataFrame, tree: DataFrame) -> DataFrame:
     found = common.stored(docs.mapInArrow(read, "rid long, doc_id long, held_out boolean, ctx long, word string, n long"), "tokens")
     places = found.select("ctx", "word").distinct().mapInArrow(bytes_of, "ctx long, word string, k array<long>").select("ctx", "word", F.explode("k").alias("k"))
     places = places.groupBy("ctx", "word", "k").agg(F.count("*").alias("m"))
-    low = _arrays(tree.filter("part < 0").select("d", "ctx", "s", "v").toPandas())
+    low = _arrays(tree.filter("part < 0").select("d", "ctx", "s", "v").toArrow())
     low = spark.sparkContext.broadcast(low)
 
     def look(grams, rows):
-        high = _arrays(rows[["d", "ctx", "s", "v"]])
+        high = _arrays(rows)
         k = grams["k"].to_numpy(np.int64)
         return pd.DataFrame({"k": k, "v": Tree(*[np.concatenate(x) for x in zip(low.value, high)]).walk(k)})
 
@@ -357,7 +358,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
         known = F.col("n") * F.col("c").isNotNull().cast("long")
         rows = rows.select("rid", "doc_id", "held_out", F.col("n").alias("n_tokens"), known.alias("known"), (F.col("n") * freq).alias("base"), (F.col("n") * mixed).alias("score"))
     else:
-        rows = _mapped(docs, Tree(*_arrays(tree.select("d", "ctx", "s", "v").toPandas())), counts, total, norm)
+        rows = _mapped(docs, Tree(*_arrays(tree.select("d", "ctx", "s", F.col("v").cast("float")).toArrow())), counts, total, norm)
         rows = rows.join(counts, "word", "left")
         rows = rows.withColumns({"known": F.coalesce("known", F.col("c").isNotNull().cast("long")), "base": F.coalesce("base", freq), "score": F.coalesce("score", mixed)})
     got = rows.groupBy("rid").agg(
@@ -371,8 +372,8 @@ def _mapped(docs: DataFrame, tree: Tree, counts: DataFrame, total: int, norm: fl
     """Sums of each document over its frequent words, and a row for each of its other words."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    frequent = counts.filter(F.col("c") >= max(1, total / WORDS)).toPandas()  # WORDS rows at most
-    known = dict(zip([w.encode("utf-8", "surrogatepass") for w in frequent["word"]], np.log10(frequent["c"].to_numpy(float) + 1).tolist()))
+    frequent = counts.filter(F.col("c") >= max(1, total / WORDS)).toArrow()  # WORDS rows at most
+    known = dict(zip(frequent["word"].cast(pa.binary()).to_pylist(), np.log10(np.asarray(frequent["c"]).astype(float) + 1).tolist()))
     held = spark.sparkContext.broadcast((tree, known))
 
     def run(batches):
