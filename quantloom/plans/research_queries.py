@@ -343,7 +343,7 @@ def _(s, d):
     return A.overlay(signal(s, d), prob, "x").select("date", "ticker", *_r("x"))
 
 
-@query("op3_alpha_spread", SIG + """, l AS (SELECT x.date, ret, lag(x) OVER (PARTITION BY x.ticker ORDER BY x.date) AS g FROM x JOIN p ON x.date = p.date AND x.ticker = p.ticker), y AS (SELECT * FROM l WHERE g IS NOT NULL AND ret IS NOT NULL),
+@query("mv3_alpha_spread", SIG + """, l AS (SELECT x.date, ret, lag(x) OVER (PARTITION BY x.ticker ORDER BY x.date) AS g FROM x JOIN p ON x.date = p.date AND x.ticker = p.ticker), y AS (SELECT * FROM l WHERE g IS NOT NULL AND ret IS NOT NULL),
 c AS (SELECT date, quantile_cont(g, 0.8) AS hi, quantile_cont(g, 0.2) AS lo FROM y GROUP BY date) SELECT y.date, count(*) AS n, round(avg(ret) FILTER (g >= hi) - avg(ret) FILTER (g <= lo), 6) AS spread FROM y JOIN c ON y.date = c.date GROUP BY y.date HAVING count(*) >= 10""")
 def _(s, d):
     j = signal(s, d).join(panel.returns(s, d).select("date", "ticker", "ret"), ["date", "ticker"])
