@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,45 +116,72 @@ def performance(pnl: DataFrame, x: str = "net_ret") -> DataFrame:
 def simulate_execution(weights: DataFrame, prices: DataFrame, capital: float = 1e6, model: CostModel = CostModel()) -> DataFrame:
     """Trades with capital compounding between rebalances: capital moves with last weights and pays for its trades.
 
-    Whole shares and least commissions make each step depend on the last one;
-    the data is reduced to the rebalance rows first and folded once.
+    Whole shares and least commissions make each step depend on the last one, so
+    one task folds, date by date, the bars of names held or traded on their date.
+    Capital that leaves the range of a double is carried as a decimal: what passes
+    1.8e308 is infinite in the result, and what comes back into range is right.
     """
-    import pandas as pd
-
     m = model
 
-    def run(pdf):
-        cash, prev, last, out = capital, {}, {}, []
-        for date, g in pdf.sort_values(["date", "ticker"]).groupby("date"):
-            price = dict(zip(g["ticker"], g["close"]))
-            moved = sum(w * (price[t] / last[t] - 1) for t, w in prev.items() if t in price and last.get(t))
-            cash *= 1 + moved
-            last |= price
-            if not g["weight"].notna().any():
-                continue
-            want = {t: w for t, w in zip(g["ticker"], g["weight"]) if w == w and abs(w) > 1e-10}
-            spent, before = 0.0, cash
-            info = g.set_index("ticker")
-            for t in sorted(set(want) | set(prev)):
-                delta = want.get(t, 0.0) - prev.get(t, 0.0)
-                if abs(delta) <= 1e-10 or not price.get(t, 0) > 0:
-                    continue
-                shares = float(round(abs(delta) * before / price[t]))
-                adv, vol = (float(info.at[t, c]) if info.at[t, c] == info.at[t, c] else d for c, d in (("adv", 1e6), ("vol", 0.02)))
-                n = shares * price[t]
-                cost = 0.0
-                if shares > 0:
-                    cost = max(shares * m.per_share, m.least_commission) + n * m.slippage_bps / 1e4 + m.impact * vol * (shares / max(adv, 1.0)) ** m.impact_power * n
-                    cost += n * m.sec_fee + shares * m.taf_per_share if delta < 0 else n * m.stamp_buy
-                spent += cost
-                out.append((date, t, "buy" if delta > 0 else "sell", shares, price[t], n, round(cost, 4), before))
-            cash -= spent
-            prev = want
-        return pd.DataFrame(out, columns=["date", "ticker", "side", "shares", "price", "notional", "total_cost", "value_before"])
-
-    held = prices.join(weights.select("ticker").distinct(), "ticker", "left_semi")
-    d = held.select("date", "ticker", "close", "adv", "vol", F.lit(1).alias("_p")).join(weights.select("date", "ticker", "weight"), ["date", "ticker"], "left")
-    return d.groupBy("_p").applyInPandas(run, "date date, ticker string, side string, shares double, price double, notional double, total_cost double, value_before double")
+    def run(batches):
+        cash, day, rows = capital, None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != day:
+                    cash, out = _rebalance(day, rows, cash, m)
+                    if out:
+                        yield _batch(out)
+                    day, rows = row[0], []
+                rows.append(row)
+        out = _rebalance(day, rows, cash, m)[1]
+        if out:
+            yield _batch(out)
+
+    given, x = weights.filter(~F.isnan("weight")), F.col("weight")
+    order = given.select("date").distinct().select("date", F.lead("date").over(Window.orderBy("date")).alias("_until"))  # one row a date
+    target = given.join(F.broadcast(order), "date").select("date", "ticker", F.when(F.abs(x) > 1e-10, x).alias("_to"), "_until")
+    close = F.when(F.abs("close") < math.inf, F.col("close"))
+    d = prices.select("date", "ticker", close.alias("close"), "adv", "vol").join(target, ["date", "ticker"], "full_outer")
+    before = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"_last": F.last("close", ignorenulls=True).over(before), "_held": F.last(F.when(F.col("_to").isNotNull(), F.struct("_to", "_until")), ignorenulls=True).over(before)})
+    held = F.when(F.col("_held._until").isNull() | (F.col("date") <= F.col("_held._until")), F.col("_held._to"))  # held until the next rebalance
+    d = d.join(F.broadcast(order.select("date", F.lit(True).alias("_trades"))), "date", "left").withColumn("_from", held)
+    d = d.filter("close is not null and (_from is not null or _to is not null)").select("date", "ticker", "close", "_last", "_from", "_to", "_trades", "adv", "vol")
+    return d.repartition(1).sortWithinPartitions("date", "ticker").mapInArrow(run, _TRADES)
+
+
+_TRADES = "date date, ticker string, side string, shares double, price double, notional double, total_cost double, value_before double"
+
+
+def _batch(rows: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.date32(), pa.string(), pa.string(), *[pa.float64()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _TRADES.split(", ")])
+
+
+def _rebalance(day, rows: list[tuple], cash, m: CostModel) -> tuple:
+    """Capital after a date, and its trades; rows: date, ticker, close, last close, weight before, weight wanted, whether it trades, adv, vol."""
+    cash *= type(cash)(1 + sum(w * (price / last - 1) for _, _, price, last, w, *_ in rows if w is not None and last))
+    # Costs grow faster than capital, so what is above zero turns into a decimal long before what is below.
+    wide = cash > 1e100 or cash < -1e300
+    num = Decimal if wide else float
+    cash, spent, out = num(cash), num(0), []
+    for _, t, price, _, old, new, trades, adv, vol in rows:
+        delta = (new or 0.0) - (old or 0.0)
+        if not trades or abs(delta) <= 1e-10 or not price > 0:
+            continue
+        # Half to even, and no integer of hundreds of digits.
+        shares = num(abs(delta)) * cash / num(price)
+        shares = shares.to_integral_value() if wide else round(shares, 0) + 0.0
+        adv, vol = (default if x is None or x != x else x for x, default in ((adv, 1e6), (vol, 0.02)))
+        n, cost = shares * num(price), num(0)
+        if shares > 0:
+            cost = max(shares * num(m.per_share), num(m.least_commission)) + n * num(m.slippage_bps) / num(1e4) + num(m.impact) * num(vol) * (shares / num(max(adv, 1.0))) ** num(m.impact_power) * n
+            cost += n * num(m.sec_fee) + shares * num(m.taf_per_share) if delta < 0 else n * num(m.stamp_buy)
+        spent += cost
+        out.append((day, t, "buy" if delta > 0 else "sell", float(shares), price, float(n), round(float(cost), 4), float(cash)))
+    return cash - spent, out
 
 
 def capacity_curve(trades: DataFrame, pnl: DataFrame, scales: tuple[float, ...] = (1.0, 5.0, 10.0, 50.0), capital: float = 1e6, model: CostModel = CostModel()) -> DataFrame:
