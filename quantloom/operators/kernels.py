@@ -1,4 +1,4 @@
-"""Factors that are recursions or spectra: one grouped-map call per ticker, vectorised over its windows."""
+"""Factors that are recursions or spectra: whole tickers a call, vectorised over a ticker's windows or over many tickers."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WINDOW = 60
+#: Rows of whole tickers that are worked on together, and returns of them that are fitted side by side.
+ROWS, SIDE_BY_SIDE = 400_000, 400_000
 
 
 def kalman(price: np.ndarray, q: float = 1e-5, r: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -100,41 +103,112 @@ def acf_decay(r: np.ndarray, n: int = WINDOW) -> np.ndarray:
 
 def turbulence(price: np.ndarray, least: int = 120, rounds: int = 100, tol: float = 1e-4) -> np.ndarray:
     """Smoothed probability of the wider of two Gaussian states, fitted by Baum-Welch on all returns."""
-    r = np.full(len(price), np.nan)
-    r[1:] = np.divide(price[1:], price[:-1], out=np.full(len(price) - 1, np.nan), where=price[:-1] != 0) - 1
-    at = np.flatnonzero(np.isfinite(r))
-    out = np.full(len(price), np.nan)
-    if len(at) < least:
-        return out
-    x = r[at]
-    n, half = len(x), np.array_split(np.sort(x), 2)
-    mu, sd = np.array([h.mean() for h in half]), np.array([max(h.std(), 1e-6) for h in half])
-    pi, a, last, gamma = np.full(2, 0.5), np.full((2, 2), 0.5), -np.inf, np.full((n, 2), 0.5)
-    for _ in range(rounds):
-        b = np.exp(-0.5 * ((x[:, None] - mu) / sd) ** 2) / (sd * math.sqrt(2 * math.pi)) + 1e-300
-        alpha, beta, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
-        alpha[0] = pi * b[0]
-        scale[0] = alpha[0].sum()
-        alpha[0] /= scale[0]
-        for t in range(1, n):
-            alpha[t] = alpha[t - 1] @ a * b[t]
-            scale[t] = alpha[t].sum()
-            alpha[t] /= scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = a @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        gamma = alpha * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        xi = alpha[:-1, :, None] * a * (b[1:] * beta[1:] / scale[1:, None])[:, None, :]
-        pi, a = gamma[0], xi.sum(axis=0) / np.maximum(xi.sum(axis=(0, 2))[:, None], 1e-300)
-        weight = np.maximum(gamma.sum(axis=0), 1e-300)
-        mu = gamma.T @ x / weight
-        sd = np.maximum(np.sqrt((gamma * (x[:, None] - mu) ** 2).sum(axis=0) / weight), 1e-6)
-        ll = float(np.log(scale).sum())
-        if abs(ll - last) < tol:
-            break
+    return turbulences([price], least, rounds, tol)[0]
+
+
+def turbulences(prices: list[np.ndarray], least: int = 120, rounds: int = 100, tol: float = 1e-4) -> list[np.ndarray]:
+    """``turbulence`` of many series, each fitted on its own; a step in time is taken for many series at once."""
+    out, fits = [np.full(len(p), np.nan) for p in prices], []
+    for k, price in enumerate(prices):
+        r = np.full(len(price), np.nan)
+        r[1:] = np.divide(price[1:], price[:-1], out=np.full(max(len(price) - 1, 0), np.nan), where=price[:-1] != 0) - 1
+        at = np.flatnonzero(np.isfinite(r))
+        if len(at) >= least:
+            fits.append((k, at, r[at]))
+    fits.sort(key=lambda f: -len(f[2]))
+    while fits:
+        longest = len(fits[0][2])
+        wide = max(1, SIDE_BY_SIDE // longest)
+        now = [f for f in fits[:wide] if 2 * len(f[2]) > longest]  # shorter ones would mostly be padding
+        fits = fits[len(now) :]
+        for (k, at, _), p in zip(now, _baum_welch([f[2] for f in now], rounds, tol)):
+            out[k][at] = p
+            out[k] = pd.Series(out[k]).ffill().to_numpy()
+    return out
+
+
+def _baum_welch(series: list[np.ndarray], rounds: int, tol: float) -> list[np.ndarray]:
+    """Probability of each series' wider state; series: longest first, a column each.  No column's result depends on the others."""
+    found: list = [None] * len(series)
+    # Two columns at least: numpy adds up a single one in another order.
+    ids = np.arange(len(series)) if len(series) > 1 else np.zeros(2, int)
+    size = np.array([len(x) for x in series])[ids]
+    x = np.zeros((size[0], len(ids)))
+    mu, sd = np.empty((2, len(ids))), np.empty((2, len(ids)))
+    for c, i in enumerate(ids):
+        x[: size[c], c] = series[i]
+        half = np.array_split(np.sort(series[i]), 2)
+        mu[:, c], sd[:, c] = [h.mean() for h in half], [max(h.std(), 1e-6) for h in half]
+    pi, a, last = np.full((2, len(ids)), 0.5), np.full((2, 2, len(ids)), 0.5), np.full(len(ids), -np.inf)
+    for k in range(rounds):
+        with np.errstate(all="ignore"):
+            gamma, pi, a, mu, sd, ll = _em_step(x, size, pi, a, mu, sd)
+            done = (np.abs(ll - last) < tol) | (k == rounds - 1)
         last = ll
-    out[at] = gamma[:, int(np.argmax(sd))]
-    return pd.Series(out).ffill().to_numpy()
+        for c in np.flatnonzero(done):
+            if found[ids[c]] is None:
+                found[ids[c]] = gamma[: size[c], int(np.argmax(sd[:, c])), c].copy()
+        open_ = np.flatnonzero([found[i] is None for i in ids])
+        if not len(open_):
+            break
+        if len(open_) <= 0.9 * len(ids) and len(ids) > 2:
+            keep = open_ if len(open_) > 1 else open_[[0, 0]]
+            ids, size, pi, a, mu, sd, last = ids[keep], size[keep], pi[:, keep], a[:, :, keep], mu[:, keep], sd[:, keep], last[keep]
+            x = np.ascontiguousarray(x[: size[0], keep])
+    return found
+
+
+def _em_step(x: np.ndarray, size: np.ndarray, pi: np.ndarray, a: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> tuple:
+    """State probabilities (time, state, column), new parameters, and the log-likelihood; x: time by column, zero from ``size`` on."""
+    n, width = x.shape
+    past = (np.arange(n)[:, None] >= size).astype(float) if size[-1] < n else None
+    b = np.empty((n, 2, width))
+    for s in range(2):
+        z = (x - mu[s]) / sd[s]
+        np.multiply(np.square(z, out=z), -0.5, out=z)
+        b[:, s] = np.exp(z, out=z) / (sd[s] * math.sqrt(2 * math.pi)) + 1e-300
+        if past is not None:
+            b[:, s] *= 1 - past
+    alpha, scale, both = np.empty((n, 2, width)), np.empty((n, width)), np.empty((2, 2, width))
+    first, second, bs, al = both[0], both[1], list(b), list(alpha)
+    one, two, rows, wide = list(alpha[:, 0]), list(alpha[:, 1]), list(scale), list(alpha[:, :, None])
+    np.multiply(pi, bs[0], out=al[0])
+    for t in range(n):
+        if t:
+            np.multiply(wide[t - 1], a, out=both)
+            np.add(first, second, out=al[t])
+            np.multiply(al[t], bs[t], out=al[t])
+        np.add(one[t], two[t], out=rows[t])
+        if past is not None:
+            rows[t] += past[t]
+        np.divide(al[t], rows[t], out=al[t])
+    ends: dict[int, list[int]] = {}
+    for c, m in enumerate(size):
+        ends.setdefault(int(m) - 1, []).append(c)
+    beta, v, u, moves = np.zeros((2, width)), np.empty((2, width)), np.empty((2, width)), np.zeros((2, 2, width))
+    to_one, to_two = both[:, 0], both[:, 1]
+    for t in range(n - 1, -1, -1):
+        if t in ends:
+            beta[:, ends[t]] = 1.0
+        if t:
+            np.multiply(bs[t], beta, out=v)
+            np.divide(v, rows[t], out=u)
+            np.multiply(wide[t - 1], u, out=both)
+            moves += both
+        np.multiply(al[t], beta, out=al[t])
+        if t:
+            np.multiply(a, v, out=both)
+            np.add(to_one, to_two, out=beta)
+            np.divide(beta, rows[t], out=beta)
+    total = alpha[:, 0] + alpha[:, 1]
+    if past is not None:
+        total += past
+    alpha /= total[:, None]
+    moves *= a
+    weight = np.maximum(alpha.sum(axis=0), 1e-300)
+    mean = np.stack([(alpha[:, s] * x).sum(axis=0) for s in range(2)]) / weight
+    var = np.stack([(alpha[:, s] * (x - mean[s]) ** 2).sum(axis=0) for s in range(2)]) / weight
+    return alpha, alpha[0].copy(), moves / np.maximum(moves.sum(axis=1, keepdims=True), 1e-300), mean, np.maximum(np.sqrt(var), 1e-6), np.log(scale).sum(axis=0)
 
 
 KERNELS = {
@@ -148,18 +222,44 @@ KERNELS = {
 }
 
 
+#: Kernels that take the series of many tickers at once.
+BATCHED = {"HMM_TURBULENCE_PROB": turbulences}
+
+
 def compute(panel: DataFrame, names: list[str], lag: int = 1) -> DataFrame:
-    """date, ticker and the named kernel factors, lagged; one group per ticker (its rows only)."""
+    """date, ticker and the named kernel factors, lagged; rows come sorted by ticker, some whole tickers at a time."""
+    import pyarrow as pa
+
     schema = "date date, ticker string, " + ", ".join(f"{n} double" for n in names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        price = pdf["close"].to_numpy(float)
-        out = {"date": pdf["date"].to_numpy(), "ticker": pdf["ticker"].to_numpy()}
+    def starts(t: pa.Table) -> np.ndarray:
+        codes = pd.factorize(t["ticker"].to_pandas())[0]
+        return np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+
+    def values(t: pa.Table):
+        series = np.split(np.array(t["close"].to_numpy(), dtype=float), starts(t)[1:])
         for n in names:
-            v = KERNELS[n](price)
-            v = np.concatenate([np.full(min(lag, len(v)), np.nan), v[: len(v) - lag]]) if lag else v
-            out[n] = pd.Series(v).where(np.isfinite(v), None)
-        return pd.DataFrame(out)
+            done = BATCHED[n](series) if n in BATCHED else [KERNELS[n](p) for p in series]
+            v = np.concatenate([np.concatenate([np.full(min(lag, len(v)), np.nan), v[: len(v) - lag]]) if lag else v for v in done])
+            t = t.append_column(n, pa.array(v, pa.float64(), mask=~np.isfinite(v)))
+        return t.drop_columns(["close"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+    def run(batches):
+        held, rows, most = [], 0, ROWS
+        for b in batches:
+            held, rows = [*held, b], rows + b.num_rows
+            if rows >= most:
+                t = pa.Table.from_batches(held)
+                cut = int(starts(t)[-1])
+                if cut:
+                    yield from values(t.slice(0, cut))
+                held, rows = t.slice(cut).to_batches(), len(t) - cut
+                most = max(ROWS, 2 * rows)
+        if rows:
+            yield from values(pa.Table.from_batches(held))
 
-    return panel.select("date", "ticker", "close").groupBy("ticker").applyInPandas(run, schema)
+    spark = panel.sparkSession
+    # So few parts that a call has many tickers, as far as the cores allow.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 4 * spark.sparkContext.defaultParallelism))
+    d = panel.select("date", "ticker", F.col("close").cast("double").alias("close")).repartition(parts, "ticker")
+    return d.sortWithinPartitions("ticker", F.asc_nulls_last("date")).mapInArrow(run, schema)
